@@ -173,7 +173,11 @@ def _finish(cells: DataFrame, found: DataFrame, extra=()) -> DataFrame:
     out = cells.select(*keys).join(found, keys, "left")
     none = F.lit(0).cast("long")
     n1, n0 = F.coalesce("n_treated", none), F.coalesce("n_control", none)
-    note = F.when(n1 == 0, "no treated units").when(n0 == 0, "no control units")
+    note = (
+        F.when(n1 == 0, "no treated units")
+        .when(n0 == 0, "no control units")
+        .when(F.col("att").isNull(), "no rows in the base month")
+    )
     return out.select(
         *keys, "att", *extra, n1.alias("n_treated"), n0.alias("n_control"), note.alias("note")
     )

@@ -127,19 +127,24 @@ def tidy_rows(
     )
 
 
-def standardise(rows: DataFrame, k: int) -> DataFrame:
-    """Centre and scale covariates: same effects, better conditioned sums."""
-    if k == 0:
-        return rows
+def survey(rows: DataFrame, design: Design, k: int) -> tuple[DataFrame, bool]:
+    """Rows with centred and scaled covariates, and whether the panel is balanced.
+
+    Scaling changes no effect and conditions the sums better. One job finds both.
+    """
     names = [f"x{i}" for i in range(1, k + 1)]
     facts = rows.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev(c).alias(f"s_{c}") for c in names]
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("unit").alias("units"),
+        *[F.avg(c).alias(f"m_{c}") for c in names],
+        *[F.stddev(c).alias(f"s_{c}") for c in names],
     ).first()
     scaled = {}
     for c in names:
         centre, scale = facts[f"m_{c}"] or 0.0, facts[f"s_{c}"] or 1.0
         scaled[c] = (F.col(c) - F.lit(centre)) / F.lit(scale)
-    return rows.withColumns(scaled)
+    balanced = facts["n"] == facts["units"] * len(design.periods)
+    return (rows.withColumns(scaled) if scaled else rows), balanced
 
 
 def _x(i: int) -> Column:
@@ -191,12 +196,6 @@ def pair_rows(rows: DataFrame, design: Design, k: int) -> DataFrame:
     )
 
 
-def is_balanced(rows: DataFrame, design: Design) -> bool:
-    """Every unit present in every month."""
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("units")).first()
-    return facts["n"] == facts["units"] * len(design.periods)
-
-
 @dataclass
 class Fit:
     """All cells of a design with their effects and influence parts."""
@@ -223,8 +222,7 @@ def fit(rows: DataFrame, design: Design, k: int, method="dr", panel_mode="auto")
     """Estimate every cell of a design from tidy rows."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-    rows = standardise(materialise(rows), k)
-    balanced = is_balanced(rows, design)
+    rows, balanced = survey(materialise(rows), design, k)
     if panel_mode not in ("auto", "panel", "cross_section"):
         raise ValueError(f"unknown panel mode {panel_mode!r}")
     if panel_mode == "cross_section" or (panel_mode == "auto" and not balanced):
@@ -281,36 +279,35 @@ def _problems(design: Design, layout: str):
     return problems, problem_of
 
 
-def _members(spark: SparkSession, problems, wanted, controls_only: bool, by_slot: bool) -> DataFrame:
-    """Which cohort (and slot) takes part in which model; bounded by the design."""
-    rows = []
-    for problem in wanted:
+def _scored(data: DataFrame, problems, gammas, controls_only: bool, by_slot: bool, p: int):
+    """Rows paired with the models they take part in, and their linear score.
+
+    The table of models has one row per model, cohort and slot with the current
+    coefficients: its size is bounded by the design (see MAX_MEMBERS), so it is
+    broadcast and the rows are not shuffled.
+    """
+    members = []
+    for problem, gamma in gammas.items():
         g, controls, slots = problems[problem]
         cohorts = [(c, 0) for c in controls] + ([] if controls_only else [(g, 1)])
         for cohort, d in cohorts:
             for slot in slots if by_slot else (0,):
-                rows.append((cohort, slot, problem, d))
-    table = literal_table(spark, rows, "cohort INT, slot INT, problem INT, d INT")
-    return F.broadcast(table if by_slot else table.drop("slot"))
-
-
-def _score(data: DataFrame, gammas: dict[int, np.ndarray], p: int) -> DataFrame:
-    """Attach the linear score of each row's model."""
-    rows = [(problem, *map(float, g)) for problem, g in gammas.items()]
-    schema = "problem INT, " + ", ".join(f"b{i} DOUBLE" for i in range(p))
-    table = F.broadcast(literal_table(data.sparkSession, rows, schema))
+                members.append((cohort, slot, problem, d, *map(float, gamma)))
+    schema = "cohort INT, slot INT, problem INT, d INT, "
+    schema += ", ".join(f"b{i} DOUBLE" for i in range(p))
+    table = literal_table(data.sparkSession, members, schema)
+    keys = ["cohort", "slot"] if by_slot else ["cohort"]
     eta = F.lit(0.0)
     for i in range(p):
         eta = eta + _x(i) * F.col(f"b{i}")
-    return data.join(table, "problem").withColumn("eta", eta)
+    table = F.broadcast(table if by_slot else table.drop("slot"))
+    return data.join(table, keys).withColumn("eta", eta)
 
 
 def _propensity(data, design, layout, problems, sums, p):
     """Logit models by Newton steps, all models in the same aggregate job."""
-    spark = data.sparkSession
     fit_rows = data
     by_slot = layout != "balanced"
-    keys = ["cohort", "slot"] if by_slot else ["cohort"]
     if layout == "balanced":
         fit_rows = data.where(F.col("slot") == design.periods[0])
 
@@ -341,8 +338,7 @@ def _propensity(data, design, layout, problems, sums, p):
     for _ in range(MAX_ROUNDS):
         if not active:
             break
-        members = _members(spark, problems, active, False, by_slot)
-        scored = _score(fit_rows.join(members, keys), active, p)
+        scored = _scored(fit_rows, problems, active, False, by_slot, p)
         chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("eta")))
         scored = scored.withColumn("_p", chance)
         w = F.col("_p") * (F.lit(1.0) - F.col("_p"))
@@ -371,10 +367,7 @@ def _control_weights(data, layout, problems, gammas, p):
     """Sums of the controls weighted with the odds of treatment."""
     if not gammas:
         return {}
-    by_slot = layout != "balanced"
-    keys = ["cohort", "slot"] if by_slot else ["cohort"]
-    members = _members(data.sparkSession, problems, gammas, True, by_slot)
-    scored = _score(data.join(members, keys), gammas, p)
+    scored = _scored(data, problems, gammas, True, layout != "balanced", p)
     return gram_sums(scored, ["problem", "slot"], p, weight=F.exp("eta"))
 
 

@@ -1,10 +1,19 @@
-"""Tail probabilities for a handful of test statistics on the driver."""
+"""Tail probabilities for a handful of test statistics.
+
+Shipped to executors by value where a result table needs a p-value column.
+"""
 
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
+import pandas as pd
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
@@ -76,3 +85,14 @@ def f_tail(x: float, df1: float, df2: float) -> float:
     if x <= 0:
         return 1.0
     return beta_cdf(df2 / (df2 + df1 * x), df2 / 2.0, df1 / 2.0)
+
+
+def chi2_tails(x: pd.Series, df: pd.Series) -> pd.Series:
+    found = [chi2_tail(a, b) if pd.notna(a) else None for a, b in zip(x, df, strict=True)]
+    return pd.Series(found, dtype="float64")
+
+
+def f_tails(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    rows = zip(x, df1, df2, strict=True)
+    found = [f_tail(a, b, c) if pd.notna(a) else None for a, b, c in rows]
+    return pd.Series(found, dtype="float64")

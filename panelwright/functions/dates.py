@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,14 @@ def first_treated_month(treat_date, study_end_idx: int) -> Column:
 def in_months(value, first_idx: int, last_idx: int) -> Column:
     """Study-window predicate on a month number (both ends included)."""
     return as_column(value).between(first_idx, last_idx)
+
+
+def in_study(column, first_idx: int, last_idx: int) -> Column:
+    """The same window on a raw date or timestamp column.
+
+    Compares with two literals, so the predicate reaches a columnar scan.
+    """
+    first = dt.date((first_idx - 1) // 12, (first_idx - 1) % 12 + 1, 1)
+    after = dt.date(last_idx // 12, last_idx % 12 + 1, 1)
+    value = as_column(column)
+    return (value >= F.lit(first)) & (value < F.lit(after))
