@@ -51,8 +51,8 @@ WITH raw AS (
 )"""
 
 
-def _addressed(spark, sf):
-    raw = table(spark, sf, "orders").select(
+def _raw(spark, sf):
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("violationid"),
         (1 + F.col("o_custkey") % 5).cast("int").alias("boroid"),
         F.when(
@@ -62,7 +62,10 @@ def _addressed(spark, sf):
         S.pick(S.STREETS, F.col("o_orderkey") % len(S.STREETS)).alias("streetname"),
         (F.col("o_custkey") % 500).cast("string").alias("censustract"),
     )
-    return addresses.event_addresses(raw)
+
+
+def _addressed(spark, sf):
+    return addresses.event_addresses(_raw(spark, sf))
 
 
 @query("JOB5 X1 X3 X5", ADDRESS_SQL + " SELECT violationid, streetname, address FROM addressed")
@@ -186,16 +189,14 @@ CODED_SQL = """, coded AS (
 )"""
 
 
-def _coded(addressed):
-    listed = addressed.where(
+def _coded(distinct):
+    """The address table: county and tract of all but two streets."""
+    listed = distinct.where(
         (F.col("streetname") != "BROADWAY")
         & (F.col("streetname") != "WALTON AVENUE")
         & F.col("address").isNotNull()
     )
-    first = addresses.distinct_addresses(
-        listed.select("address", "boroid", "censustract", "violationid"), ["violationid"]
-    )
-    return first.select(
+    return listed.select(
         "address",
         F.lpad((F.col("boroid") * 2 + 1).cast("string"), 3, "0").alias("county_fips"),
         F.lpad("censustract", 6, "0").alias("census_tract"),
@@ -215,12 +216,11 @@ def _tract_key(spark, sf):
 
 
 def _enriched(spark, sf):
-    addressed = _addressed(spark, sf)
+    distinct = addresses.distinct_event_addresses(_raw(spark, sf), ["violationid"])
     columns = ["violationid", "boroid", "address", "censustract"]
-    firsts = addresses.distinct_addresses(addressed.select(*columns), ["violationid"])
-    return addresses.enrich(firsts, _coded(addressed), _tract_key(spark, sf)).select(
-        *columns, "county_fips", "census_tract", "geoid"
-    )
+    return addresses.enrich(
+        distinct.select(*columns), _coded(distinct), _tract_key(spark, sf)
+    ).select(*columns, "county_fips", "census_tract", "geoid")
 
 
 @query("JOB6 W8 J1 J6 X2", ADDRESS_SQL + CODED_SQL + " SELECT * FROM enriched")

@@ -241,7 +241,8 @@ def _ratios(spark, sf):
         .agg(F.sum("l_quantity").alias("q"))
     )
     totals = pairs.groupBy("tract").agg(F.sum("q").alias("total"))
-    return pairs.join(totals, "tract").select(
+    # A source may hold a large part of all pairs: divide its rows over several tasks.
+    return joins.lookup(pairs, totals, "tract", spread_by=["zip"], salts=8).select(
         "tract", "zip", (F.col("q") / F.col("total")).alias("res_ratio")
     )
 

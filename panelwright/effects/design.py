@@ -17,7 +17,7 @@ from panelwright.sources.scan import literal_table
 # Stand-in for "first treated after everything we see".
 NEVER = 2**31 - 1
 
-MAX_CELLS = 1_000_000
+MAX_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,13 @@ class Design:
 
     @classmethod
     def discover(cls, panel: DataFrame, time: str, group: str, control="notyettreated", base="varying"):
-        """Read months and cohorts off the panel with one aggregate job."""
-        found = panel.agg(F.collect_set(time).alias("t"), F.collect_set(group).alias("g")).first()
-        return cls.of(found["t"], found["g"], control, base)
+        """Read months and cohorts off the panel: one job, one row per pair of them."""
+        pairs = panel.select(F.col(time).alias("t"), F.col(group).alias("g")).distinct()
+        found = pairs.limit(MAX_CELLS + 1).collect()
+        if len(found) > MAX_CELLS:
+            raise ValueError("too many cohorts and periods; use coarser periods")
+        months = [r["t"] for r in found if r["t"] is not None]
+        return cls.of(months, [r["g"] for r in found], control, base)
 
     @property
     def last_months(self) -> dict[int, int]:

@@ -31,7 +31,7 @@ from panelwright.sources.scan import literal_table
 
 METHODS = ("dr", "reg", "ipw")
 MAX_ROUNDS = 25
-MAX_MEMBERS = 2_000_000
+MAX_MEMBERS = 500_000
 RESULT = (
     "group INT, time INT, base INT, post BOOLEAN, att DOUBLE, "
     "n_treated BIGINT, n_control BIGINT, note STRING"

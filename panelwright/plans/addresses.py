@@ -46,6 +46,18 @@ def distinct_addresses(df: DataFrame, order: Iterable[str], key="address") -> Da
     return first_per_key(df, [key], order)
 
 
+def distinct_event_addresses(
+    events: DataFrame, order: Iterable[str], number="housenumber", street="streetname"
+) -> DataFrame:
+    """One row per standard address, the first in the given order.
+
+    Rows are reduced to distinct raw addresses before the spelling rules run, so
+    the rules see each spelling once, not each event.
+    """
+    raw = first_per_key(events, [number, street], order)
+    return distinct_addresses(event_addresses(raw, number, street), order)
+
+
 def enrich(
     addresses: DataFrame,
     coded: DataFrame,
