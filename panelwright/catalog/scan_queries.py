@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from panelwright.functions.scalars import finite_or, try_number
 from panelwright.functions.text import first_chars
 from panelwright.operators import filters, schema_ops
 from panelwright.operators.order import sort_rows
-from panelwright.sources import scan
+from panelwright.session import shared_folder
+from panelwright.sources import scan, sink
 
 
 @query(
@@ -311,3 +313,55 @@ def typed_comparisons(spark, sf):
 )
 def sorted_ascending(spark, sf):
     return sort_rows(S.events(spark, sf).select("zip", "violationid"), "zip", "violationid")
+
+
+# --- files: written to the shared folder, then read back --------------------------------
+
+ROUND_TRIP_SQL = (
+    "WITH"
+    + S.EVENTS_SQL
+    + """
+SELECT violationid, boroid, zip, inspectiondate, ordernumber FROM events_clean"""
+)
+ROUND_TRIP_SCHEMA = (
+    "violationid BIGINT, boroid INT, zip STRING, inspectiondate DATE, ordernumber STRING"
+)
+
+
+def _new_folder(spark):
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _dated(spark, sf):
+    events = S.events(spark, sf).drop("agency")
+    return events.withColumn("inspectiondate", F.col("inspectiondate").cast("date"))
+
+
+@query("S1 S2 S10 S11", ROUND_TRIP_SQL)
+def csv_gzip_round_trip(spark, sf):
+    folder = _new_folder(spark)
+    sink.sink(_dated(spark, sf), folder, fmt="csv")
+    return scan.scan(spark, folder, ROUND_TRIP_SCHEMA)
+
+
+@query("S3", ROUND_TRIP_SQL)
+def piped_round_trip(spark, sf):
+    folder = _new_folder(spark)
+    _dated(spark, sf).write.csv(folder, header=True, sep="|", nullValue="NA")
+    return scan.scan_piped(spark, folder, ROUND_TRIP_SCHEMA)
+
+
+@query(
+    "S12 S13",
+    ROUND_TRIP_SQL.replace("SELECT violationid, boroid, zip, inspectiondate, ordernumber FROM", "SELECT 'kept' AS part, violationid, zip FROM")
+    + " WHERE zip <> '2016' UNION ALL SELECT 'faulty', violationid, zip FROM events_clean WHERE zip = '2016' OR zip IS NULL",
+)
+def saved_results(spark, sf):
+    folder = _new_folder(spark)
+    events = _dated(spark, sf).select("violationid", "zip")
+    bad = (F.col("zip") == "2016") | F.col("zip").isNull()
+    sink.sink_exceptions(events, bad, f"{folder}/report")
+    faulty = scan.scan(spark, f"{folder}/report", "violationid BIGINT, zip STRING")
+    sink.save_results({"kept": events.where(F.col("zip") != "2016"), "faulty": faulty}, folder)
+    parts = sink.load_results(spark, folder, ["kept", "faulty"])
+    return scan.union_all(df.select(F.lit(n).alias("part"), "*") for n, df in parts.items())

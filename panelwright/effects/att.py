@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.effects.design import NEVER, Design
 from panelwright.effects.fit import fit, tidy_rows
+from panelwright.operators.panel import by_unit
 
 
 def dropped_rows(panel: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -114,7 +115,7 @@ def _pair_sums(rows: DataFrame, design: Design) -> DataFrame:
             for t, b in design.pairs()
         ]
     )
-    per_unit = rows.groupBy("unit").agg(
+    per_unit = by_unit(rows, "unit").groupBy("unit").agg(
         F.min("cohort").alias("cohort"),
         F.map_from_entries(F.collect_list(F.struct("time", "y"))).alias("_y"),
     )

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.effects.design import Cell, Design
+from panelwright.operators.panel import by_unit
 from panelwright.session import materialise
 from panelwright.sources.scan import literal_table
 
@@ -184,7 +185,7 @@ def pair_rows(rows: DataFrame, design: Design, k: int) -> DataFrame:
         ]
     )
     names = [f"x{i}" for i in range(1, k + 1)]
-    per_unit = rows.groupBy("unit").agg(
+    per_unit = by_unit(rows, "unit").groupBy("unit").agg(
         F.min("cohort").alias("cohort"),
         *[F.min(c).alias(c) for c in names],
         F.map_from_entries(F.collect_list(F.struct("time", "y"))).alias("_y"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.effects import kernels
 from panelwright.effects.design import NEVER
 from panelwright.effects.fit import Fit, Result
+from panelwright.operators.panel import by_unit
 
 SUMS = "kind STRING, i INT, values ARRAY<DOUBLE>"
 
@@ -20,7 +21,7 @@ def unit_arrays(fit: Fit, seed: int) -> DataFrame:
     """
     names = [f"x{i}" for i in range(1, fit.k + 1)]
     months = F.array(*[F.lit(p) for p in fit.design.periods])
-    per_unit = fit.rows.groupBy("unit").agg(
+    per_unit = by_unit(fit.rows, "unit").groupBy("unit").agg(
         F.min("cohort").alias("cohort"),
         *[F.min(c).alias(c) for c in names],
         F.map_from_entries(F.collect_list(F.struct("time", "y"))).alias("_y"),

@@ -11,6 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
+    """Ask for a broadcast only after counting the rows.
+
+    For materialised tables with few columns, where the count is cheap; a bigger
+    table is returned as it is and joins by shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def _pairs(on) -> list[tuple[str, str]]:
     if isinstance(on, str):
         return [(on, on)]

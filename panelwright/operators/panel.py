@@ -21,6 +21,15 @@ def unit_period_counts(
     return events.groupBy(unit, period).agg((ids + missing).alias(name))
 
 
+def by_unit(df: DataFrame, unit: str) -> DataFrame:
+    """Partition by unit over all shuffle partitions.
+
+    What follows multiplies the rows, so the shuffled size says little about the
+    work; a fixed number of partitions keeps adaptive execution from merging them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), unit)
+
+
 def observed_periods(events: DataFrame, period: str) -> DataFrame:
     """One row with the sorted array of the periods present in the data.
 
@@ -57,7 +66,7 @@ def complete_panel(
     cells = F.map_from_entries(
         F.collect_list(F.when(F.col(period).isNotNull(), F.struct(period, measure)))
     )
-    per_unit = kept.groupBy(unit).agg(cells.alias("_cells"))
+    per_unit = by_unit(kept, unit).groupBy(unit).agg(cells.alias("_cells"))
     spread = per_unit.select(unit, "_cells", F.explode(periods.scalar()).alias(period))
     value = F.coalesce(F.try_element_at("_cells", F.col(period)), F.lit(fill))
     return spread.select(unit, period, value.alias(measure))

@@ -1,120 +1,106 @@
 """Exact quantiles per group, without gathering a group in one task.
 
-Values are counted first, so copies of a hot value are one row. Distinct values
-are then cut into ranges by an approximate sketch; the ranges holding the wanted
-ranks are found from range totals, and only those ranges are ordered.
+A sketch brackets every quantile between two values. A second pass counts what
+lies outside the brackets and keeps single values only inside them, a fraction
+of about a thousandth of a large group. Copies of a value are counted, not kept,
+so a hot value costs one row. Only the bracketed values are ordered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from panelwright.operators.joins import broadcast_if_small
+from panelwright.session import materialise
+
+ACCURACY = 10_000
+# Half-widths of the brackets, as shares of the group. The narrowest that covers
+# the error of the sketch and three ranks is used; the last covers everything.
+MARGINS = (0.0005, 0.005, 0.05, 1.0)
+
+
+def _bracket(sketch: str, n: Column, first: int) -> tuple[Column, Column]:
+    """Lower and upper value of one quantile's bracket."""
+    low = high = None
+    for i, margin in reversed(list(enumerate(MARGINS))):
+        a = F.col(sketch)[first + 2 * i]
+        b = F.col(sketch)[first + 2 * i + 1]
+        wide_enough = F.lit(margin) >= F.lit(2.0 / ACCURACY) + F.try_divide(F.lit(3.0), n)
+        low = a if low is None else F.when(wide_enough, a).otherwise(low)
+        high = b if high is None else F.when(wide_enough, b).otherwise(high)
+    return low, high
 
 
 def exact_quantiles(
-    df: DataFrame, by: Iterable[str], value: str, probabilities: dict[str, float], ranges=RANGES
+    df: DataFrame,
+    by: Iterable[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group with an interpolated quantile per name.
 
     The quantile at p of n sorted values lies at position ``(n - 1) * p``,
-    interpolated linearly between its neighbours.
+    interpolated linearly between its neighbours. ``also`` adds ordinary
+    aggregates to the first pass.
     """
-    by = list(by)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    grid = [i / ranges for i in range(1, ranges)]
-    limits = counted.groupBy(*by).agg(
-        F.percentile_approx(F.when(F.col("_n") > 0, F.col("_v")), grid, 40 * ranges).alias("_limits")
+    by, also = list(by), dict(also or {})
+    shares = [
+        min(1.0, max(0.0, p + side * margin))
+        for p in probabilities.values()
+        for margin in MARGINS
+        for side in (-1, 1)
+    ]
+    v = F.col(value).cast("double")
+    facts = df.groupBy(*by).agg(
+        F.count(v).alias("_n"),
+        F.percentile_approx(v, shares, ACCURACY).alias("_sketch"),
+        *[e.alias(name) for name, e in also.items()],
     )
-    bucket = F.aggregate(
-        "_limits", F.lit(0), lambda seen, limit: seen + (limit <= F.col("_v")).cast("int")
-    )
-    placed = _join_groups(counted, limits, by).withColumn("_bucket", bucket).drop("_limits")
+    edges = {}
+    for j in range(len(probabilities)):
+        low, high = _bracket("_sketch", F.col("_n"), 2 * len(MARGINS) * j)
+        edges |= {f"_low{j}": low, f"_high{j}": high}
+    facts = materialise(facts.withColumns(edges).drop("_sketch"))
 
-    per_range = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
-    ordered = Window.partitionBy(*by).orderBy("_bucket")
-    whole = Window.partitionBy(*by)
-    per_range = per_range.select(
+    # Values outside all brackets sort right after the last bracket below them.
+    limits = facts.select(*[F.col(c).alias(f"_g_{c}") for c in by], *edges)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    placed = df.where(F.col(value).isNotNull()).join(broadcast_if_small(limits), same)
+    inside, below = F.lit(False), [F.lit(float("-inf"))]
+    for j in range(len(probabilities)):
+        inside = inside | v.between(F.col(f"_low{j}"), F.col(f"_high{j}"))
+        below.append(F.when(F.col(f"_high{j}") < v, F.col(f"_high{j}")))
+    below.append(F.lit(None).cast("double"))
+    counted = placed.groupBy(
         *by,
-        "_bucket",
-        "_size",
-        F.coalesce(
-            F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.sum("_size").over(whole).alias("_total"),
-    )
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                for name, p in probabilities.items()
-            ]
-        )
-    )
-    position = (F.col("_total") - 1) * F.col("_q.p")
-    targets = (
-        per_range.withColumn("_q", wanted)
-        .withColumn("_low", F.floor(position))
-        .withColumn("_high", F.ceil(position))
-        .withColumn("_weight", position - F.floor(position))
-    )
+        F.when(inside, v).otherwise(F.greatest(*below)).alias("_v"),
+        F.when(inside, 0).otherwise(1).alias("_outside"),
+    ).agg(F.count(F.lit(1)).alias("_copies"))
 
-    def holds(rank):
-        return (F.col(rank) >= F.col("_before")) & (
-            F.col(rank) < F.col("_before") + F.col("_size")
-        )
-
-    targets = targets.where(holds("_low") | holds("_high"))
-    needed = targets.groupBy(*by, "_bucket").agg(
-        F.max("_before").alias("_before"),
-        F.collect_list(
-            F.struct(F.col("_q.name").alias("name"), "_low", "_high", "_weight")
-        ).alias("_targets"),
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
-    ranked = (
-        _join_groups(placed, needed, [*by, "_bucket"])
-        .withColumn(
-            "_from",
-            F.col("_before")
-            + F.coalesce(
-                F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .select(*by, "_v", "_n", "_from", F.explode("_targets").alias("_t"))
-    )
+    ordered = Window.partitionBy(*by).orderBy("_v", "_outside")
+    last = F.sum("_copies").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("_last", last).withColumn("_total", F.sum("_copies").over(
+        Window.partitionBy(*by)
+    ))
 
     def value_at(rank):
-        r = F.col(f"_t.{rank}")
-        hit = (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    found = ranked.groupBy(*by, F.col("_t.name").alias("_name")).agg(
-        value_at("_low").alias("_lo"),
-        value_at("_high").alias("_hi"),
-        F.max("_t._weight").alias("_w"),
-    )
-    interpolated = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")
-    return found.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("_name") == name, interpolated)).alias(name)
-            for name in probabilities
-        ]
-    )
+        hit = (rank < F.col("_last")) & (rank >= F.col("_last") - F.col("_copies"))
+        missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+        return F.max(F.when(hit & (F.col("_outside") == 0), F.col("_v")).when(hit, missed))
 
+    found = []
+    for name, p in probabilities.items():
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        low, high = value_at(F.floor(position)), value_at(F.ceil(position))
+        weight = F.max(position - F.floor(position))
+        found.append((low + (high - low) * weight).alias(name))
+    quantiles = ranked.groupBy(*by).agg(*found)
 
-def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Inner join on group columns where a missing group value is a group too."""
-    renamed = right.withColumnsRenamed({c: f"_g_{c}" for c in by})
-    condition = None
-    for c in by:
-        test = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-        condition = test if condition is None else condition & test
-    return left.join(renamed, condition).drop(*[f"_g_{c}" for c in by])
+    keyed = quantiles.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    return facts.select(*by, *also).join(keyed, same, "left").drop(*[f"_g_{c}" for c in by])

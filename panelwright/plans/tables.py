@@ -73,24 +73,17 @@ def sumtable(df: DataFrame, variables: Iterable[str], by: str | None = None) ->
     All variables go through one unpivoted aggregate; ``by`` adds groups.
     """
     ids = [by] if by else []
+    moments = {
+        "n": F.count("value"),
+        "mean": F.avg("value"),
+        "sd": F.stddev_samp("value"),
+        "min": F.min("value"),
+        "max": F.max("value"),
+    }
+    quartiles = {"pctile_25": 0.25, "pctile_75": 0.75}
     keys = [*ids, "variable"]
-    long = _long(df, variables, ids)
-    moments = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(long, keys, "value", {"pctile_25": 0.25, "pctile_75": 0.75})
-    renamed = quartiles.withColumnsRenamed({c: f"_q_{c}" for c in keys})
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
-    joined = moments.join(renamed, same, "left")
-    return joined.select(
-        *keys, "n", "mean", "sd", "min", "pctile_25", "pctile_75", "max"
-    )
+    found = exact_quantiles(_long(df, variables, ids), keys, "value", quartiles, also=moments)
+    return found.select(*keys, "n", "mean", "sd", "min", *quartiles, "max")
 
 
 def group_test(df: DataFrame, variables: Iterable[str], by: str) -> DataFrame:
