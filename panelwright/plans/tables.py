@@ -130,24 +130,22 @@ def group_test(df: DataFrame, variables: Iterable[str], by: str) -> DataFrame:
 
 def category_test(df: DataFrame, variable: str, by: str) -> DataFrame:
     """Chi-square test of independence of a category and the groups."""
-    counts = df.where(F.col(variable).isNotNull() & F.col(by).isNotNull()).groupBy(variable, by).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    rows = counts.groupBy(variable).agg(F.sum("n").alias("r"))
-    cols = counts.groupBy(by).agg(F.sum("n").alias("c"))
-    # Sum over cells of n^2 / (r * c): absent cells add nothing to it.
-    cells = counts.join(rows, variable).join(cols, by)
-    ratio = F.col("n") * F.col("n") / (F.col("r").cast("double") * F.col("c"))
-    out = cells.agg(
+    pairs = df.select(F.col(variable).alias("_level"), F.col(by).alias("_group")).dropna()
+    counts = pairs.groupBy("_level", "_group").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("_level").agg(F.sum("n").alias("_row"))
+    cols = counts.groupBy("_group").agg(F.sum("n").alias("_col"))
+    # Sum over cells of n^2 / (row * column): absent cells add nothing to it.
+    ratio = F.col("n") * F.col("n") / (F.col("_row").cast("double") * F.col("_col"))
+    out = counts.join(rows, "_level").join(cols, "_group").agg(
         F.sum("n").alias("total"),
-        F.sum(ratio).alias("_s"),
-        F.count_distinct(variable).alias("_r"),
-        F.count_distinct(by).alias("_c"),
+        F.sum(ratio).alias("_sum"),
+        F.count_distinct("_level").alias("_levels"),
+        F.count_distinct("_group").alias("_groups"),
     )
     out = out.select(
         F.lit(variable).alias("variable"),
-        (F.col("total") * (F.col("_s") - 1)).alias("chi2"),
-        ((F.col("_r") - 1) * (F.col("_c") - 1)).alias("df"),
+        (F.col("total") * (F.col("_sum") - 1)).alias("chi2"),
+        ((F.col("_levels") - 1) * (F.col("_groups") - 1)).alias("df"),
     )
     return out.withColumn("p_value", F.pandas_udf(chi2_tails, "double")("chi2", F.col("df").cast("double")))
 
