@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright import effects as E
 from panelwright.catalog import standins as S
 from panelwright.catalog.registry import query, table
-from panelwright.effects.compare import side_by_side, tidy_groups
+from panelwright.effects.result_tables import side_by_side, tidy_groups
 from panelwright.plans import models, panels
 from panelwright.session import materialise
 

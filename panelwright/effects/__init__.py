@@ -8,9 +8,9 @@ Only matrices sized by cohorts, months and bootstrap draws reach the driver.
 from panelwright.effects.aggregate import aggregate_att, cohort_sizes
 from panelwright.effects.att import att_gt, att_std_errors, dropped_rows
 from panelwright.effects.bands import Estimate, estimate
-from panelwright.effects.compare import compare, pretest_table
+from panelwright.effects.result_tables import compare, pretest_table
 from panelwright.effects.design import NEVER, Design
-from panelwright.effects.pretest import pretest
+from panelwright.effects.pretrend import pretest
 
 __all__ = [
     "NEVER",

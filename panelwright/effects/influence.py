@@ -20,13 +20,17 @@ def unit_arrays(fit: Fit, seed: int) -> DataFrame:
     A unit has at most one entry per month, so a row is bounded by the calendar.
     """
     names = [f"x{i}" for i in range(1, fit.k + 1)]
-    months = F.array(*[F.lit(p) for p in fit.design.periods])
+    entries = F.collect_list(F.struct("time", "y"))
     per_unit = by_unit(fit.rows, "unit").groupBy("unit").agg(
-        F.min("cohort").alias("cohort"),
-        *[F.min(c).alias(c) for c in names],
-        F.map_from_entries(F.collect_list(F.struct("time", "y"))).alias("_y"),
+        F.min("cohort").alias("cohort"), *[F.min(c).alias(c) for c in names], entries.alias("_y")
     )
-    outcomes = F.transform(months, lambda m: F.try_element_at(F.col("_y"), m))
+    if fit.layout == "balanced":
+        # Every month is present: sorting the entries aligns them.
+        outcomes = F.sort_array("_y").getField("y")
+    else:
+        months = F.array(*[F.lit(p) for p in fit.design.periods])
+        by_month = F.map_from_entries("_y")
+        outcomes = F.transform(months, lambda m: F.try_element_at(by_month, m))
     return per_unit.select(
         F.xxhash64("unit", F.lit(seed)).alias("hash"), "cohort", *names, outcomes.alias("y")
     )

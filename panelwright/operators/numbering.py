@@ -7,7 +7,7 @@ sketch and influence only the balance, never the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,22 +18,29 @@ def cut_points(df: DataFrame, column: str, buckets: int) -> list:
     return sorted(set(found or []))
 
 
-def bucket_of(column, limits: list) -> Column:
-    """Number of limits at or below the value: a bucket id that keeps the order."""
-    value = F.col(column) if isinstance(column, str) else column
+def with_bucket(df: DataFrame, column: str, limits: list, name="_bucket") -> DataFrame:
+    """Add the number of limits at or below the value: a bucket id that keeps the order.
+
+    A binary search written as one column step per level, so the cost per row is
+    the logarithm of the number of limits.
+    """
+    df = df.withColumn(name, F.lit(0))
     if not limits:
-        return F.lit(0)
+        return df
     table = F.array(*[F.lit(x) for x in limits])
-    return F.aggregate(
-        table, F.lit(0), lambda seen, limit: seen + (limit <= value).cast("int")
-    )
+    step = 1 << (len(limits).bit_length() - 1)
+    while step:
+        reached = F.try_element_at(table, F.col(name) + step) <= F.col(column)
+        df = df.withColumn(name, F.col(name) + F.when(reached, step).otherwise(0))
+        step >>= 1
+    return df
 
 
 def number_rows(df: DataFrame, order: str, name="row_number", buckets=None) -> DataFrame:
     """Number all rows 1..n by a unique numeric key that is never missing."""
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limits = cut_points(df, order, buckets)
-    placed = df.withColumn("_bucket", bucket_of(order, limits))
+    placed = with_bucket(df, order, limits)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_bucket")

@@ -66,11 +66,21 @@ def rollout_table(rollout: DataFrame, drop_cohorts: Iterable[int] = (K.LAST_COHO
 
 
 def attach_cohorts(
-    df: DataFrame, rollout: DataFrame, unit="zip", last_cohort=K.LAST_COHORT, last_date=None
+    df: DataFrame,
+    rollout: DataFrame,
+    unit="zip",
+    last_cohort=K.LAST_COHORT,
+    last_date=None,
+    spread_by: Iterable[str] = (),
 ) -> DataFrame:
-    """Cohort and treat date of each row's unit; unlisted units join the last cohort."""
+    """Cohort and treat date of each row's unit; unlisted units join the last cohort.
+
+    ``spread_by`` names columns to salt the join with, for events where one unit
+    (or the missing unit) holds a large part of the rows.
+    """
     last_date = last_date or K.COHORT_DATES[K.LAST_COHORT]
-    joined = lookup(df, rollout.select("zip", "cohort", "rtc_treat_date"), {unit: "zip"})
+    listed = rollout.select("zip", "cohort", "rtc_treat_date")
+    joined = lookup(df, listed, {unit: "zip"}, spread_by=spread_by)
     return joined.withColumns(
         {
             "cohort": F.coalesce("cohort", F.lit(last_cohort)),
@@ -80,10 +90,10 @@ def attach_cohorts(
 
 
 def tag_treatment(
-    df: DataFrame, rollout: DataFrame, date_col="inspectiondate", unit="zip", grain="day", **last
+    df: DataFrame, rollout: DataFrame, date_col="inspectiondate", unit="zip", grain="day", **options
 ) -> DataFrame:
     """Cohort, treat date and a 0/1 flag comparing the treat date with the row's date."""
-    tagged = attach_cohorts(df, rollout, unit, **last)
+    tagged = attach_cohorts(df, rollout, unit, **options)
     return tagged.withColumn("treated", treated_flag("rtc_treat_date", date_col, grain=grain))
 
 

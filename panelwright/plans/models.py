@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 
 from panelwright.effects import aggregate_att, att_gt, cohort_sizes, estimate, pretest
-from panelwright.effects.compare import compare, pretest_table
+from panelwright.effects.result_tables import compare, pretest_table
 
 THREE = ("evict_rate_17", "rs_rate_17", "pct_pov_17")
 FORMULAS: Mapping[str, tuple[str, ...]] = {
