@@ -336,7 +336,7 @@ def pretest_statistic(spark, sf):
     return rounded(found.select("statistic", "n_units", "n_cells", "n_points"), "statistic")
 
 
-@query("C11 C15")
+@query("C11 C15 U3")
 def pretest_cvm(spark, sf):
     """Test rows of two covariate lists with critical values and p-values."""
     panel = _study(spark, sf, "pct_wh_17")

@@ -18,6 +18,7 @@ from panelwright.operators.order import sort_rows
 from panelwright.operators.reshape import apply_corrections
 from panelwright.operators.schema_ops import drop_constant, snake_names
 
+# The columns kept from the event file.
 EVENT_COLUMNS = [
     "violationid", "buildingid", "boroid", "boro", "housenumber", "lowhousenumber",
     "highhousenumber", "streetname", "zip", "apartment", "story", "block", "lot", "class",
