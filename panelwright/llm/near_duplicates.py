@@ -6,8 +6,6 @@ if the summed minima of their counts are at least 0.8 of the summed maxima.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,44 +106,33 @@ def band_keys(bands: int = BANDS, rows: int = ROWS, width: int = WIDTH):
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(n + 1) * bands, type=pa.int32()), pa.array(found.reshape(-1))
             )
-            parts.append(pa.array([None] * n, lists.type) if empty.all() else lists.take(pa.array(np.where(empty, -1, np.arange(n)), mask=empty)))
+            parts.append(lists.take(pa.array(np.arange(n), mask=empty)))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
     return keys
 
 
-def overlap(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two counted multisets (sorted hashes, counts)."""
-    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-    common = np.minimum(one[1][i], two[1][j]).sum()
-    return common / max(one[1].sum() + two[1].sum() - common, 1)
-
-
-def _similar(similarity: float, width: int):
-    """Rows (a, b, text_a, text_b) to the linked (a, b); bags of recent ids are kept for hot pivots."""
+def bags(width: int = WIDTH):
+    """Arrow function: texts to their runs of words as sets; the n-th occurrence of a run is an
+    element of its own, so that sizes of set intersections are the summed minima of counts."""
 
-    def run(batches):
-        kept: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-
-        def bag(key, text):
-            if key not in kept:
-                hashes = np.concatenate([w.shingles(width)[0] for _, _, w in slices(text)])
-                kept[key] = np.unique(hashes, return_counts=True)
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            kept.move_to_end(key)
-            return kept[key]
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = batch.column("text_a"), batch.column("text_b")
-            good = [
-                overlap(bag(a[i], texts[0].slice(i, 1)), bag(b[i], texts[1].slice(i, 1))) >= similarity
-                for i in range(batch.num_rows)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    @F.arrow_udf("array<bigint>")
+    def elements(texts: pa.Array) -> pa.Array:
+        parts = []
+        for start, stop, words in slices(texts):
+            hashes, first = words.shingles(width)
+            rows = np.repeat(np.arange(stop - start), np.diff(first))
+            order = np.lexsort((hashes, rows))
+            rows, hashes = rows[order], hashes[order]
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+            begins = np.flatnonzero(new)
+            nth = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
+            found = mixed(hashes + nth.astype(_U) * _STEP).view(np.int64)
+            parts.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
-    return run
+    return elements
 
 
 def near_duplicates(
@@ -183,16 +170,15 @@ def near_duplicates(
     wanted = texts.select("id", "h1", "h2").join(members.select("id").distinct(), "id", "left_semi")
     wanted = materialise(wanted)
     bodies = source.withColumns({"h1": F.xxhash64(body), "h2": F.xxhash64(body, F.lit(1))})
-    bodies = bodies.join(small_side(wanted), ["h1", "h2"]).select("id", "body")
-    bodies = materialise(bodies.dropDuplicates(["id"]))
+    bodies = bodies.join(small_side(wanted), ["h1", "h2"]).dropDuplicates(["id"])
+    bodies = materialise(bodies.select("id", bags(width)("body").alias("bag")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a")
-            .join(bodies.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_similar(similarity, width), "a long, b long")
-        )
+        both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a")
+        both = both.join(bodies.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+        least = similarity * (F.size("x") + F.size("y") - F.col("common"))
+        return both.filter(F.col("common") >= least).select("a", "b")
 
     labels = group_buckets(members, verify)
     label = F.coalesce("label", "id")
