@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import components
@@ -19,56 +18,61 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return materialise(members.join(shared, "key", "left_semi").select("key", "id"))
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def group_buckets(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     """Components of all verified links between ids that share a bucket, as (id, label).
 
     ``members``: distinct (key, id) rows of buckets with two ids or more. ``verify`` takes pairs
-    (a, b), a < b, and returns those that are linked. In each round every bucket compares one
-    pivot with its other members. A pair needs no comparison once its ends are in one component,
-    so a bucket of near copies is done after a round. Pairs that are then still open are compared
-    one by one as soon as they are few, or if pivots find no more links: no link is lost, and
-    there is no limit on members.
+    (a, b), a < b, and returns those that are linked. First every bucket compares one pivot with
+    its other members; the pivot is the member that shares most buckets, so that a group of near
+    copies mostly meets the text they come from. Within a component no pair needs another
+    comparison. Buckets of three ids or more that still hold several components are open:
+    ``rest`` takes their rows (key, id, label) and returns all pairs across labels that can be
+    linked at all. They are verified too, so no link is lost, whatever the size of a bucket.
     """
-    spark = members.sparkSession
-    total = members.count()
-    links = None
-    labels = spark.createDataFrame([], "id long, label long")
-    open_members = members.withColumn("label", F.col("id"))
-    for seed in count():
-        pivots = open_members.groupBy("key").agg(
-            F.min_by("id", F.xxhash64("key", "id", F.lit(seed))).alias("pivot"),
-        )
-        pairs = (
-            open_members.join(pivots, "key")
-            .filter("id <> pivot")
-            .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            .distinct()
-        )
-        found = verify(pairs)
-        links = materialise(found if links is None else links.union(found))
-        before, labels = labels, materialise(components(links))
-        merged = seed == 0 or before.groupBy("label").count().count() != labels.groupBy("label").count().count() or before.count() != labels.count()
-        open_members = members.join(labels, "id", "left").select(
-            "key", "id", F.coalesce("label", "id").alias("label")
-        )
-        parts = open_members.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(
-            F.count("*").alias("n_labels"),
-            F.sum("n").alias("n"),
-            F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
-        ).filter("n_labels > 1 and n > 2")
-        mixed = materialise(mixed.select("key", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs")))
-        left = mixed.agg(F.sum("pairs")).first()[0]
-        if not left:
-            return labels
-        open_members = materialise(open_members.join(mixed.select("key"), "key", "left_semi"))
-        if left <= 4 * total or not merged:
-            break
-    one, two = open_members, open_members.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    shares = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("shares"))
+    order = F.col("shares") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    pivots = members.join(shares, "id").groupBy("key").agg(F.max_by("id", order).alias("pivot"))
     pairs = (
-        one.join(two, "key")
-        .filter("id < id2 and label <> label2")
-        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        members.join(pivots, "key")
+        .filter("id <> pivot")
+        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         .distinct()
     )
-    return components(links.union(verify(pairs)))
+    links = materialise(verify(pairs))
+    labels = components(links)
+    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(
+        F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n")
+    )
+    mixed = mixed.filter("first < last and n > 2").select("key")
+    still_open = materialise(labelled.join(mixed, "key", "left_semi"))
+    if still_open.isEmpty():
+        return labels
+    more = materialise(verify(rest(still_open)))
+    if more.isEmpty():
+        return labels
+    return components(links.union(more))
+
+
+def across_labels(rows: DataFrame, key: str, condition: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids that share a key under different labels.
+
+    Rows: key, id, label and the ``extra`` columns; ``condition`` may use each of these, with a
+    suffix 2 for the other row. Within a key the rows of all labels but the most frequent one are
+    joined with all rows, so that the pairs of the largest component are never formed.
+    """
+    counts = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy(key).agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels"))
+    main = main.filter("labels > 1").select(key, "main")
+    lesser = rows.join(main, key).filter("label <> main").drop("main")
+    other = rows.select(key, *[F.col(c).alias(f"{c}2") for c in ("id", "label", *extra)])
+    # A pair of two lesser labels is found from either side.
+    pairs = lesser.join(other, (lesser[key] == other[key]) & (F.col("label") != F.col("label2")) & (
+        F.lit(True) if condition is None else condition
+    ))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()

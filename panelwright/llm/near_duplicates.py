@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import small_side
-from panelwright.llm.linking import group_buckets, shared_buckets
+from panelwright.llm.linking import across_labels, group_buckets, shared_buckets
 from panelwright.llm.words import _STEP, _U, mixed, slices
 from panelwright.session import materialise
 
@@ -135,6 +135,25 @@ def bags(width: int = WIDTH):
     return elements
 
 
+def _candidates(open_ids: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """All pairs across labels that can reach the similarity, by an exact prefix filter.
+
+    The elements of a bag are ordered by the number of bags that hold them. Two bags of the asked
+    similarity share one of their first elements, and the number of elements from there on
+    bounds their overlap. Near copies that differ by too much meet in no such element.
+    """
+    held = open_ids.join(bags, "id").select("id", "label", F.size("bag").alias("n"), F.explode("bag").alias("element"))
+    held = materialise(held)
+    spread = held.groupBy("element").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("id").orderBy("holders", "element")
+    first = held.join(spread, "element").withColumn("place", F.row_number().over(order))
+    first = first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    first = materialise(first.filter("holders > 1").select("element", "id", "label", "n", "place"))
+    asked = similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
+    reachable = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    return across_labels(first, "element", reachable >= asked, ("n", "place"))
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -178,9 +197,12 @@ def near_duplicates(
         both = both.join(bodies.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
         both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         least = similarity * (F.size("x") + F.size("y") - F.col("common"))
-        return both.filter(F.col("common") >= least).select("a", "b")
+        return both.filter(F.col("common") >= least - 1e-9).select("a", "b")
+
+    def rest(still_open: DataFrame) -> DataFrame:
+        return _candidates(still_open.select("id", "label").distinct(), bodies, similarity)
 
-    labels = group_buckets(members, verify)
+    labels = group_buckets(members, verify, rest)
     label = F.coalesce("label", "id")
     named = texts.select("id", "h1", "h2").join(labels, "id", "left").select("h1", "h2", label.alias("label"))
     counts = with_words.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("n"))

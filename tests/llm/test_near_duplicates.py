@@ -67,5 +67,24 @@ def test_buckets_keep_all_links(spark):
     def verify(pairs):
         return pairs.filter("b - a = 1 and a <> 19")
 
-    labels = {r["id"]: r["label"] for r in linking.group_buckets(members, verify).collect()}
+    def rest(still_open):
+        return linking.across_labels(still_open, "key")
+
+    labels = {r["id"]: r["label"] for r in linking.group_buckets(members, verify, rest).collect()}
     assert labels == {i: 0 if i < 20 else 20 for i in range(n)}
+
+
+def test_group_of_near_copies(spark):
+    """Copies with more and more edits: chains of links, and texts that share bands without a link."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    docs = {}
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, size=rng.integers(0, 9), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        docs[i] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {i: r["class_id"] for i, r in run(df).items()}
+    assert got == brute.near_duplicate_classes(docs)
+    assert len(set(got.values())) > 5
