@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelwright.llm import contamination as contaminated
-from panelwright.llm import mixing, near_duplicates
+from panelwright.llm import line_dedup, mixing, near_duplicates
 from panelwright.llm.registry import query, table
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -95,3 +95,9 @@ FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN ta
 def op9_mixed_sources(spark, sf_dir):
     """Every document with the words that the mix takes of it, by weighted fair queueing."""
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_line_dedup(spark, sf_dir):
+    """Every document without the fuzzy copies of lines that come earlier."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))

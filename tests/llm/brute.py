@@ -57,3 +57,31 @@ def near_duplicate_classes(docs, similarity=0.8):
     for ids in by_shingle.values():
         pairs.update(combinations(sorted(ids), 2))
     return groups(docs, [p for p in pairs if weighted_jaccard(bags[p[0]], bags[p[1]]) >= similarity])
+
+
+def plain_line(line):
+    return " ".join(words(line.lower()))
+
+
+def edit_distance(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def line_groups(lines, simhash, similarity=0.9, distance=3):
+    """{plain line: label} by all pairs of distinct plain lines."""
+    lines = sorted(set(lines))
+    hashes = {x: simhash[x] & (2**64 - 1) for x in lines}
+    links = []
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if (hashes[a] ^ hashes[b]).bit_count() <= distance:
+                if edit_distance(a, b) <= max(len(a), len(b)) * (1 - similarity) + 1e-9:
+                    links.append((a, b))
+    return groups(lines, links)
