@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import components
+from panelwright.llm.common import components, small_side
 from panelwright.session import materialise
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """The (key, id) rows whose key is shared by two different ids, written."""
     ends = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = ends.filter("first < last").select("key")
-    return materialise(members.join(shared, "key", "left_semi").select("key", "id"))
+    shared = materialise(ends.filter("first < last").select("key"))
+    return materialise(members.join(small_side(shared), "key", "left_semi").select("key", "id"))
 
 
 def group_buckets(
