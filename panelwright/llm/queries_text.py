@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelwright.llm import contamination as contaminated
-from panelwright.llm import line_dedup, mixing, near_duplicates
+from panelwright.llm import line_dedup, mixing, near_duplicates, personal_data, secrets
 from panelwright.llm.registry import query, table
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -101,3 +101,15 @@ def op9_mixed_sources(spark, sf_dir):
 def op2_line_dedup(spark, sf_dir):
     """Every document without the fuzzy copies of lines that come earlier."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_personal_data(spark, sf_dir):
+    """Every document with its personal data, base spans and those found by their contexts."""
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_secrets(spark, sf_dir):
+    """Every document with its secrets, base spans and linked weak parts."""
+    return secrets.secrets(table(spark, sf_dir, "documents"))
