@@ -30,6 +30,7 @@ ROUNDS = 2
 CONFIDENT = 0.97
 #: Weight of the squared weights against the mean loss, times the number of documents.
 L2 = 1.0
+ROWS_AT_ONCE = 500
 
 
 def _beginnings(words: Words) -> list[np.ndarray]:
@@ -100,6 +101,12 @@ def _margins(weights: np.ndarray, features: np.ndarray, first: np.ndarray) -> np
     return weights[-1] + total[first[1:]] - total[first[:-1]]
 
 
+def _scores(weights: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Margins of a whole batch, some rows at a time, so that temporary arrays stay small."""
+    parts = [_margins(weights, *_rows(lists.slice(i, ROWS_AT_ONCE))) for i in range(0, len(lists), ROWS_AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -279,7 +286,7 @@ def train(
 def _score_one(shared, view: str):
     def score(lists: pa.Array) -> pa.Array:
         weights, scales = shared.value
-        return pa.array(_sigmoid(scales[view][0] + scales[view][1] * _margins(weights[view], *_rows(lists))))
+        return pa.array(_sigmoid(scales[view][0] + scales[view][1] * _scores(weights[view], lists)))
 
     return score
 
@@ -307,8 +314,11 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", meta: list[
 
     def score(texts: pa.Array, metas: pa.Array) -> pa.Array:
         text_weights, meta_weights, text_scale, meta_scale, both = shared.value
-        one = _margins(text_weights, *_rows(text_features(texts)))
-        two = _margins(meta_weights, *_rows(metas))
+        parts = [
+            _scores(text_weights, text_features(texts.slice(i, ROWS_AT_ONCE))) for i in range(0, len(texts), ROWS_AT_ONCE)
+        ]
+        one = np.concatenate(parts) if parts else np.zeros(0)
+        two = _scores(meta_weights, metas)
         values = [
             text_scale[0] + text_scale[1] * one, meta_scale[0] + meta_scale[1] * two, both[0] + both[1] * one + both[2] * two,
         ]

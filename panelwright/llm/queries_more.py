@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import html_text, quality, token_files
+from panelwright.llm import html_text, neighbours, quality, token_files
 from panelwright.llm.registry import query, table
 
 
@@ -26,3 +26,9 @@ def op4_token_counts(spark, sf_dir):
     """Every document's tokens, counted in flat token files of the whole table."""
     found = token_files.token_counts(table(spark, sf_dir, "documents"))
     return found.select("path", "doc_no", "start", "n_tokens", "ended")
+
+
+@query()
+def op5_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest found for every twentieth vector, by greedy search in an NN-descent graph."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), 20, 20)

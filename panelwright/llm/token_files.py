@@ -139,10 +139,10 @@ def count_tokens(spark: SparkSession, files: DataFrame, separator: int, block_by
     sums = sums.select("path", "block", "doc_no", F.coalesce(F.col("carry") + 1, F.lit(0).cast("long")).alias("begin"))
     rows = blocks.join(sums, ["path", "block"])
     starts = F.concat(F.array("begin"), F.transform("ends", lambda e: e + 1))
-    rows = rows.filter(F.size("ends") > 0).select("path", "doc_no", starts.alias("starts"), F.posexplode("ends").alias("i", "end"))
-    found = rows.select(
-        "path", (F.col("doc_no") + F.col("i")).alias("doc_no"), F.get("starts", F.col("i")).alias("start"), "end", F.lit(True).alias("ended")
-    )
+    # Each separator with the start of its document; arrays are not copied into every row.
+    pairs = F.arrays_zip(F.slice(starts, 1, F.size("ends")).alias("start"), F.col("ends").alias("end"))
+    rows = rows.filter(F.size("ends") > 0).select("path", "doc_no", F.posexplode(pairs).alias("i", "doc"))
+    found = rows.select("path", (F.col("doc_no") + F.col("i")).alias("doc_no"), "doc.start", "doc.end", F.lit(True).alias("ended"))
     total = blocks.groupBy("path").agg(
         F.sum(F.size("ends")).cast("long").alias("doc_no"), F.max("stop").alias("end"),
         F.coalesce(F.max(F.array_max("ends")) + 1, F.lit(0).cast("long")).alias("start"),
