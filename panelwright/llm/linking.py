@@ -11,22 +11,26 @@ from panelwright.llm.common import components, small_side
 from panelwright.session import materialise
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """The (key, id) rows whose key is shared by two different ids, written."""
-    ends = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = materialise(ends.filter("first < last").select("key"))
-    return materialise(members.join(small_side(shared), "key", "left_semi").select("key", "id"))
+def shared_buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of distinct (key, id) rows: the distinct pairs (a, b), a < b, of buckets with just two ids,
+    and the (key, id) rows of larger buckets; both written."""
+    ends = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+    ends = materialise(ends.filter("n > 1"))
+    large = materialise(ends.filter("n > 2").select("key"))
+    pairs = materialise(ends.filter("n = 2").select("a", "b").distinct())
+    return pairs, materialise(members.join(small_side(large), "key", "left_semi").select("key", "id"))
 
 
 def group_buckets(
+    pairs: DataFrame,
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     rest: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Components of all verified links between ids that share a bucket, as (id, label).
 
-    ``members``: distinct (key, id) rows of buckets with two ids or more. ``verify`` takes pairs
-    (a, b), a < b, and returns those that are linked. First every bucket compares one pivot with
+    ``pairs``: distinct (a, b), a < b, of buckets of two; ``members``: distinct (key, id) rows of
+    larger buckets. ``verify`` takes pairs and returns those that are linked. First every bucket compares one pivot with
     its other members; the pivot is the member that shares most buckets, so that a group of near
     copies mostly meets the text they come from. Within a component no pair needs another
     comparison. Buckets of three ids or more that still hold several components are open:
@@ -37,19 +41,16 @@ def group_buckets(
     shares = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("shares"))
     order = F.col("shares") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     pivots = members.join(shares, "id").groupBy("key").agg(F.max_by("id", order).alias("pivot"))
-    pairs = (
+    to_pivots = (
         members.join(pivots, "key")
         .filter("id <> pivot")
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        .distinct()
     )
-    links = materialise(verify(pairs))
+    links = materialise(verify(pairs.union(to_pivots).distinct()))
     labels = components(links)
     labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(
-        F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n")
-    )
-    mixed = mixed.filter("first < last and n > 2").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"))
+    mixed = mixed.filter("first < last").select("key")
     still_open = materialise(labelled.join(mixed, "key", "left_semi"))
     if still_open.isEmpty():
         return labels

@@ -184,9 +184,11 @@ def near_duplicates(
     with_words = signed.filter("bands is not null")
     texts = with_words.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
     texts = materialise(texts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "bands"))
-    members = shared_buckets(texts.select(F.explode("bands").alias("key"), "id"))
+    two, members = shared_buckets(texts.select(F.explode("bands").alias("key"), "id"))
 
-    wanted = texts.select("id", "h1", "h2").join(members.select("id").distinct(), "id", "left_semi")
+    wanted = texts.select("id", "h1", "h2").join(
+        two.select(F.col("a").alias("id")).union(two.select("b")).union(members.select("id")).distinct(), "id", "left_semi"
+    )
     wanted = materialise(wanted)
     bodies = source.withColumns({"h1": F.xxhash64(body), "h2": F.xxhash64(body, F.lit(1))})
     bodies = bodies.join(small_side(wanted), ["h1", "h2"]).dropDuplicates(["id"])
@@ -202,7 +204,7 @@ def near_duplicates(
     def rest(still_open: DataFrame) -> DataFrame:
         return _candidates(still_open.select("id", "label").distinct(), bodies, similarity)
 
-    labels = group_buckets(members, verify, rest)
+    labels = group_buckets(two, members, verify, rest)
     label = F.coalesce("label", "id")
     named = texts.select("id", "h1", "h2").join(labels, "id", "left").select("h1", "h2", label.alias("label"))
     counts = with_words.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("n"))

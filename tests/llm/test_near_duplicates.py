@@ -70,7 +70,7 @@ def test_buckets_keep_all_links(spark):
     def rest(still_open):
         return linking.across_labels(still_open, "key")
 
-    labels = {r["id"]: r["label"] for r in linking.group_buckets(members, verify, rest).collect()}
+    labels = {r["id"]: r["label"] for r in linking.group_buckets(spark.createDataFrame([], "a long, b long"), members, verify, rest).collect()}
     assert labels == {i: 0 if i < 20 else 20 for i in range(n)}
 
 
