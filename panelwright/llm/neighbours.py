@@ -117,40 +117,52 @@ def _leaf_neighbours(nodes: np.ndarray, codes: np.ndarray, most: int):
 def _trees(nodes: DataFrame, n: int, dims: int, seed: int) -> DataFrame:
     """A first graph: random hyperplanes deal the nodes into leaves, within which all are compared."""
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    graphs = None
-    for tree in range(TREES if bits else 1):
-        planes = np.random.default_rng(seed * 1000 + tree).standard_normal((dims, bits + 1)).astype(np.float32)
-
-        def place(batches, planes=planes, bits=bits):
-            for batch in batches:
-                along = _codes(batch.column("code")) @ planes
-                cell = ((along[:, :bits] > 0) * (1 << np.arange(bits))).sum(axis=1) if bits else np.zeros(len(along))
+    trees = TREES if bits else 1
+    planes = np.random.default_rng(seed).standard_normal((trees, dims, bits + 1)).astype(np.float32)
+
+    def place(batches):
+        for batch in batches:
+            codes = _codes(batch.column("code"))
+            for tree in range(trees):
+                along = codes @ planes[tree]
+                cell = (along[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(along))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("code"), pa.array(cell.astype(np.int64)), pa.array(along[:, bits].astype(np.float64))],
-                    ["id", "code", "cell", "along"],
+                    [
+                        batch.column("id"), batch.column("code"), pa.array(np.full(len(along), tree)),
+                        pa.array(cell.astype(np.int64)), pa.array(along[:, bits].astype(np.float64)),
+                    ],
+                    ["id", "code", "tree", "cell", "along"],
                 )
 
-        def leaves(batches):
-            def found(ids, codes):
-                if len(ids) > 1:
-                    yield _grouped(*_top(*_leaf_neighbours(np.array(ids), _codes(pa.array(codes)), DEGREE // 2), DEGREE))
+    def leaves(batches):
+        def found(ids, codes):
+            if len(ids) > 1:
+                yield _grouped(*_top(*_leaf_neighbours(np.array(ids), _codes(pa.array(codes)), DEGREE // 2), DEGREE))
 
-            ids, codes = [], []
-            for batch in batches:
-                ids += batch.column("id").to_pylist()
-                codes += batch.column("code").to_pylist()
-                while len(ids) >= 2 * LEAF:
-                    yield from found(ids[:LEAF], codes[:LEAF])
-                    ids, codes = ids[LEAF:], codes[LEAF:]
+        def rest(ids, codes):
             half = len(ids) if len(ids) <= LEAF else (len(ids) + 1) // 2
             yield from found(ids[:half], codes[:half])
             yield from found(ids[half:], codes[half:])
 
-        rows = nodes.select("id", "code").mapInArrow(place, "id long, code binary, cell long, along double")
-        rows = rows.repartitionByRange(max(1, n // (4 * LEAF)), "cell", "along").sortWithinPartitions("cell", "along")
-        graph = rows.mapInArrow(leaves, _GRAPH)
-        graphs = graph if graphs is None else graphs.union(graph)
-    return materialise(by_key(graphs, "id", _merge(DEGREE), _GRAPH))
+        ids, codes, current = [], [], None
+        for batch in batches:
+            tree = batch.column("tree").to_numpy()
+            for t in np.unique(tree):
+                if t != current:
+                    yield from rest(ids, codes)
+                    ids, codes, current = [], [], t
+                part = batch.filter(pa.array(tree == t))
+                ids += part.column("id").to_pylist()
+                codes += part.column("code").to_pylist()
+                while len(ids) >= 2 * LEAF:
+                    yield from found(ids[:LEAF], codes[:LEAF])
+                    ids, codes = ids[LEAF:], codes[LEAF:]
+        yield from rest(ids, codes)
+
+    rows = nodes.select("id", "code").mapInArrow(place, "id long, code binary, tree long, cell long, along double")
+    rows = rows.repartitionByRange(max(1, trees * n // (4 * LEAF)), "tree", "cell", "along")
+    graph = rows.sortWithinPartitions("tree", "cell", "along").mapInArrow(leaves, _GRAPH)
+    return materialise(by_key(graph, "id", _merge(DEGREE), _GRAPH))
 
 
 def _around(graph: DataFrame) -> DataFrame:
@@ -217,7 +229,8 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width:
     """(id, ids): for each query node (id, code) the ``width`` best nodes that the search met.
 
     A search starts at the query's own neighbours. In each round it expands all of its best
-    ``width`` nodes that are not expanded yet; it ends when there is none, or after ``rounds``.
+    ``width`` nodes that are not expanded yet. It ends when hardly any of all are (STILL), or
+    after ``rounds``.
     """
     around = _around(graph).join(nodes.select(F.col("id").alias("other"), "code"), "other").select("node", "other", "code")
 
@@ -276,7 +289,8 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width:
         found = found.select("id", F.lit(None).cast("binary").alias("code"), "ids", "sims", F.lit(None).cast("array<long>").alias("done"))
         kept = state.select("id", "code", "ids", "sims", F.concat("done", "fresh").alias("done"))
         state = materialise(by_key(kept.union(found), "id", join_state, state_schema))
-        if state.filter(F.size(F.array_except("ids", "done")) > 0).isEmpty():
+        left = state.agg(F.sum(F.size(F.array_except("ids", "done"))), F.sum(F.size("ids"))).first()
+        if (left[0] or 0) <= STILL * (left[1] or 0):
             break
     return state.select("id", "ids")
 

@@ -79,8 +79,9 @@ def line_groups(lines, simhash, similarity=0.9, distance=3):
     lines = sorted(set(lines))
     hashes = {x: simhash[x] & (2**64 - 1) for x in lines}
     links = []
-    for i, a in enumerate(lines):
-        for b in lines[i + 1 :]:
+    several = [x for x in lines if len(set(x.split())) >= 5]
+    for i, a in enumerate(several):
+        for b in several[i + 1 :]:
             if (hashes[a] ^ hashes[b]).bit_count() <= distance:
                 if edit_distance(a, b) <= max(len(a), len(b)) * (1 - similarity) + 1e-9:
                     links.append((a, b))
