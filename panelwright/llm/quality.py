@@ -23,8 +23,8 @@ TEXT_FEATURES = WORDS + 16 * FIGURES
 META_FEATURES = 1 << 12
 
 #: Labelled documents that are fitted on at most, and pseudo-labelled ones for each view.
-MAX_LABELLED = 12_000
-MAX_PSEUDO = 6_000
+MAX_LABELLED = 8_000
+MAX_PSEUDO = 3_000
 ROUNDS = 2
 #: Calibrated probability from which a view is confident.
 CONFIDENT = 0.97
@@ -113,7 +113,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(features: np.ndarray, first: np.ndarray, good: np.ndarray, n_features: int, steps: int = 60) -> np.ndarray:
     """Weights (the last is the offset) of a logistic model of binary features, by L-BFGS."""
-    rows = np.repeat(np.arange(len(good)), np.diff(first))
+    rows = np.repeat(np.arange(len(good), dtype=np.int32), np.diff(first))
     shrink = L2 / len(good)
 
     def loss(w):
@@ -183,12 +183,13 @@ class Model:
 
 
 def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
-    """The cut with the best mean of both classes' accuracy, midway between neighbours."""
+    """The cut with the best accuracies of both classes, that of good documents counted twice,
+    midway between neighbours."""
     order = np.argsort(scores, kind="stable")
     s, g = scores[order], good[order]
     kept = 1 - np.concatenate([[0], np.cumsum(g)]) / max(g.sum(), 1)
     gone = np.concatenate([[0], np.cumsum(1 - g)]) / max((1 - g).sum(), 1)
-    value = kept + gone
+    value = 2 * kept + gone
     value[1:-1][s[1:] == s[:-1]] = -1
     best = int(np.argmax(value))
     low = s[best - 1] if best else 0.0
@@ -207,9 +208,12 @@ def truths(labels: DataFrame, id: str = "doc_id") -> DataFrame:
     return found.select("label_id", good.alias("good")).filter("label_id is not null and good is not null")
 
 
-def _sample(df: DataFrame, most: int) -> pa.Table:
-    """At most so many rows, those with the least hashes."""
-    return df.orderBy("place").limit(most).toArrow()
+def _sample(df: DataFrame, n: int, most: int) -> pa.Table:
+    """At most so many of n rows, those whose hash is below a bound; nothing is sorted."""
+    if n > most:
+        bound = int(0.95 * most / n * (1 << 30))
+        df = df.filter(F.pmod("place", F.lit(1 << 30)) < bound)
+    return df.limit(most).toArrow()
 
 
 def train(
@@ -224,8 +228,7 @@ def train(
 ) -> Model | None:
     """Co-train both views; None if there are not at least ten labelled documents of each class.
 
-    A bounded sample of labelled documents (``max_labelled``, those with the least hashes) is
-    split: 70% to fit, 30% to calibrate. In each round both views score every unlabelled document,
+    A bounded sample of labelled documents (``max_labelled``, by their hashes) is split: 70% to fit, 30% to calibrate. In each round both views score every unlabelled document,
     and each view then learns, besides the labels, a bounded sample (``max_pseudo``) of those of
     which the other view is confident.
     """
@@ -239,7 +242,8 @@ def train(
     truth = materialise(truths(labels, id))
     view = view.join(small_side(truth), F.col("doc") == F.col("label_id"), "left").drop("label_id", "doc")
     view = materialise(view)
-    known = _sample(view.filter("good is not null"), max_labelled)
+    labelled = view.filter("good is not null")
+    known = _sample(labelled, labelled.count(), max_labelled)
     good = known.column("good").to_numpy().astype(float)
     if min(good.sum(), len(good) - good.sum()) < 10:
         return None
@@ -271,10 +275,11 @@ def train(
         scored = view.filter("good is null").select("*", *[
             F.arrow_udf(_score_one(shared, c), "double")(F.col(c)).alias(f"p_{c}") for c in data
         ])
+        sure = {c: (F.col(f"p_{c}") >= CONFIDENT) | (F.col(f"p_{c}") <= 1 - CONFIDENT) for c in data}
+        counts = scored.agg(*[F.count(F.when(sure[c], 1)).alias(c) for c in data]).first()
         for c, other in (("words", "meta"), ("meta", "words")):
-            p = F.col(f"p_{other}")
-            sure = scored.filter((p >= CONFIDENT) | (p <= 1 - CONFIDENT)).select(c, (p >= CONFIDENT).cast("int").alias("said"), "place")
-            extra[c] = _sample(sure, max_pseudo)
+            said = (F.col(f"p_{other}") >= CONFIDENT).cast("int").alias("said")
+            extra[c] = _sample(scored.filter(sure[other]).select(c, said, "place"), counts[other], max_pseudo)
     both = np.column_stack([margins["words"], margins["meta"]])
     both_scale = _scaled(both[held], good[held])
     scores = _sigmoid(both_scale[0] + both[held] @ both_scale[1:])
