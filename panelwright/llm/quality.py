@@ -16,10 +16,10 @@ from panelwright.session import materialise
 
 #: Beginnings of words, in bytes, that are features besides the words.
 BEGINNINGS = (4, 5)
-#: Hashed word features, then 16 steps for each of the text's figures.
-WORDS = 1 << 16
+#: Numbers of text features, hashed words first, then 16 steps for each of the text's figures.
 FIGURES = 8
-TEXT_FEATURES = WORDS + 16 * FIGURES
+TEXT_FEATURES = 1 << 16
+WORDS = TEXT_FEATURES - 16 * FIGURES
 META_FEATURES = 1 << 12
 
 #: Labelled documents that are fitted on at most, and pseudo-labelled ones for each view.
@@ -46,9 +46,9 @@ def _beginnings(words: Words) -> list[np.ndarray]:
 
 
 def text_features(texts: pa.Array) -> pa.Array:
-    """Sorted feature numbers of each text: distinct hashed words, and steps of eight figures
-    (words, word length, capitals, digits, signs, distinct words, line ends, beyond ASCII)."""
-    parts = []
+    """Feature numbers of each text, packed in two bytes each: distinct hashed words, and steps of eight
+    figures (words, word length, capitals, digits, signs, distinct words, line ends, beyond ASCII)."""
+    parts, sizes = [], []
     for start, stop, words in slices(texts):
         n = stop - start
         counts = np.diff(words.first)
@@ -74,10 +74,13 @@ def text_features(texts: pa.Array) -> pa.Array:
         steps = np.stack([WORDS + 16 * i + np.minimum((f * 16).astype(np.int64), 15) for i, f in enumerate(figures)], axis=1)
         rows = np.concatenate([rows, np.repeat(np.arange(n), FIGURES)])
         features = np.concatenate([features, steps.reshape(-1)])
-        order = np.argsort(rows, kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
-        parts.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(features[order], pa.int32())))
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        parts.append(features[np.argsort(rows, kind="stable")].astype(np.uint16))
+        sizes.append(np.bincount(rows, minlength=n))
+    if not parts:
+        return pa.array([], pa.binary())
+    packed = np.concatenate(parts)
+    offsets = np.concatenate([[0], 2 * np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
 
 
 def meta_features(values: list[Column]) -> Column:
@@ -89,11 +92,16 @@ def meta_features(values: list[Column]) -> Column:
 
 
 def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features, start of each row) of a list array; null counts as empty."""
+    """(features, start of each row) of an array of lists or of packed features."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+    if pa.types.is_list(lists.type):
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+    _, where, content = lists.buffers()
+    offsets = np.frombuffer(where, np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64) // 2
+    packed = np.frombuffer(content, np.uint16, offsets[-1]) if offsets[-1] else np.zeros(0, np.uint16)
+    return packed[offsets[0] :], offsets - offsets[0]
 
 
 def _margins(weights: np.ndarray, features: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -235,7 +243,7 @@ def train(
     meta = meta or default_meta(docs)
     view = docs.select(
         F.col(id).cast("long").alias("doc"),
-        F.arrow_udf(text_features, "array<int>")(F.col(text)).alias("words"),
+        F.arrow_udf(text_features, "binary")(F.col(text)).alias("words"),
         meta_features(meta).alias("meta"),
         F.xxhash64(F.col(id), F.col(text)).alias("place"),
     )
