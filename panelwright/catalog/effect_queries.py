@@ -100,13 +100,7 @@ def att_gt_std_errors(spark, sf):
 
 
 def _average(spark, sf, kind):
-    panel = _study(spark, sf)
-    # Units without a rate never enter the estimates, so they carry no weight.
-    used = panel.where(F.col(RATE).isNotNull())
-    found = E.aggregate_att(
-        E.att_gt(panel, RATE, *KEYS), E.cohort_sizes(used, "zip", "treat_idx"), kind
-    )
-    return rounded(found, "att")
+    return rounded(models.effects_and_averages(_study(spark, sf))[kind], "att")
 
 
 @query(

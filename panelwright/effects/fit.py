@@ -128,15 +128,32 @@ def tidy_rows(
     )
 
 
-def survey(rows: DataFrame, design: Design, k: int) -> tuple[DataFrame, bool]:
-    """Rows with centred and scaled covariates, and whether the panel is balanced.
+@dataclass
+class Shape:
+    """What a survey finds: whether every unit has each month once, how many rows repeat a
+    unit-month (a NULL unit counts as one unit), and in how many units cohort or covariates change."""
+
+    balanced: bool
+    repeats: int
+    changing: int
+
+    def require_units(self):
+        """Refuse rows that cannot be gathered to one row per unit."""
+        if self.repeats:
+            raise ValueError(f"{self.repeats} rows repeat a unit and month; combine them first")
+        if self.changing:
+            raise ValueError(f"cohort or covariates change over time in {self.changing} units; take one value per unit")
+
+
+def survey(rows: DataFrame, design: Design, k: int) -> tuple[DataFrame, Shape]:
+    """Rows with centred and scaled covariates, and the shape of the panel.
 
-    Scaling changes no effect and conditions the sums better. One job finds both.
+    Scaling changes no effect and conditions the sums better. The months of a unit are gathered
+    to a set (bounded by the calendar), so that a repeated one cannot make up for a missing one.
     """
     names = [f"x{i}" for i in range(1, k + 1)]
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct("unit").alias("units"),
         *[F.avg(c).alias(f"m_{c}") for c in names],
         *[F.stddev(c).alias(f"s_{c}") for c in names],
     ).first()
@@ -144,8 +161,20 @@ def survey(rows: DataFrame, design: Design, k: int) -> tuple[DataFrame, bool]:
     for c in names:
         centre, scale = facts[f"m_{c}"] or 0.0, facts[f"s_{c}"] or 1.0
         scaled[c] = (F.col(c) - F.lit(centre)) / F.lit(scale)
-    balanced = facts["n"] == facts["units"] * len(design.periods)
-    return (rows.withColumns(scaled) if scaled else rows), balanced
+    changing = F.min("cohort") < F.max("cohort")
+    for c in names:
+        changing = changing | (F.min(c) < F.max(c))
+    per_unit = rows.groupBy("unit").agg(
+        F.size(F.collect_set("time")).alias("months"), changing.alias("changing")
+    )
+    units = per_unit.agg(
+        F.min("months").alias("least"),
+        F.coalesce(F.sum("months"), F.lit(0)).alias("months"),
+        F.count_if("changing").alias("changing"),
+    ).first()
+    repeats = facts["n"] - units["months"]
+    balanced = repeats == 0 and units["least"] == len(design.periods)
+    return (rows.withColumns(scaled) if scaled else rows), Shape(balanced, repeats, units["changing"])
 
 
 def _x(i: int) -> Column:
@@ -210,6 +239,7 @@ class Fit:
     gammas: dict[int, np.ndarray]
     hessians: dict[int, np.ndarray]
     problems: list[tuple[int, tuple[int, ...], tuple[int, ...]]]
+    shape: Shape
 
     def table(self, spark: SparkSession) -> DataFrame:
         data = [
@@ -220,16 +250,22 @@ class Fit:
 
 
 def fit(rows: DataFrame, design: Design, k: int, method="dr", panel_mode="auto") -> Fit:
-    """Estimate every cell of a design from tidy rows."""
+    """Estimate every cell of a design from tidy rows.
+
+    Where differences within units are taken, repeated unit-months, and cohorts or covariates
+    that change over time, are refused; cross sections use every row with its own covariates.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-    rows, balanced = survey(materialise(rows), design, k)
+    rows, shape = survey(materialise(rows), design, k)
+    balanced = shape.balanced
     if panel_mode not in ("auto", "panel", "cross_section"):
         raise ValueError(f"unknown panel mode {panel_mode!r}")
     if panel_mode == "cross_section" or (panel_mode == "auto" and not balanced):
         layout = "months"
     else:
         layout = "balanced" if balanced else "pairs"
+        shape.require_units()
 
     p = k + 1
     if layout == "pairs":
@@ -254,7 +290,7 @@ def fit(rows: DataFrame, design: Design, k: int, method="dr", panel_mode="auto")
             solver(result, design, layout, method, sums, hessians.get(problem), weighted, p)
         except NotIdentified as reason:
             result.att, result.note, result.parts = None, str(reason), []
-    return Fit(design, layout, method, k, rows, results, gammas, hessians, problems)
+    return Fit(design, layout, method, k, rows, results, gammas, hessians, problems, shape)
 
 
 def _problems(design: Design, layout: str):

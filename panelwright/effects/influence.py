@@ -84,6 +84,7 @@ def matrices(sums: DataFrame) -> dict[str, np.ndarray]:
 
 def influence_totals(fit: Fit, draws: int, seed: int) -> dict[str, np.ndarray]:
     """Bootstrap sums (draws x columns) and cross products (columns x columns)."""
+    fit.shape.require_units()
     spec = influence_spec(fit, draws)
     partial = unit_arrays(fit, seed).mapInArrow(kernels.influence_sums(spec), schema=SUMS)
     return matrices(added_up(partial))

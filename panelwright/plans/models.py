@@ -22,9 +22,13 @@ RATE = "n_violations_per_1k_units"
 def effects_and_averages(
     panel: DataFrame, unit="zip", y=RATE, time="month_idx", group="treat_idx", **options
 ) -> dict[str, DataFrame]:
-    """Group-time effects and their four averages, as lazy tables."""
+    """Group-time effects and their four averages, as lazy tables.
+
+    Cohorts weigh by their units with at least one complete row, as the effects use no others.
+    """
     att = att_gt(panel, y, unit, time, group, **options)
-    sizes = cohort_sizes(panel, unit, group)
+    used = panel.dropna(subset=[time, y, *options.get("covariates", ())])
+    sizes = cohort_sizes(used, unit, group)
     out = {"att": att}
     for kind in ("simple", "group", "dynamic", "calendar"):
         out[kind] = aggregate_att(att, sizes, kind)

@@ -103,20 +103,22 @@ def group_test(df: DataFrame, variables: Iterable[str], by: str) -> DataFrame:
         )
     )
     n, m, v = F.col("n"), F.col("m"), F.col("v")
+    # The window runs over finished groups; distances from the grand mean keep the digits that a
+    # difference of two large sums would lose.
+    whole = Window.partitionBy("variable")
+    groups = groups.withColumn("_grand", F.sum(n * m).over(whole) / F.sum(n).over(whole))
     sums = groups.groupBy("variable").agg(
         F.sum(n).alias("total"),
         F.count(F.lit(1)).alias("groups"),
-        F.sum(n * m).alias("_nm"),
-        F.sum(n * m * m).alias("_nmm"),
+        F.sum(n * (m - F.col("_grand")) * (m - F.col("_grand"))).alias("_between"),
         F.sum((n - 1) * v).alias("_within"),
     )
-    between = F.col("_nmm") - F.col("_nm") * F.col("_nm") / F.col("total")
     out = sums.select(
         "variable",
         (F.col("groups") - 1).alias("df_between"),
         (F.col("total") - F.col("groups")).alias("df_within"),
         F.try_divide(
-            F.try_divide(between, F.col("groups") - 1),
+            F.try_divide(F.col("_between"), F.col("groups") - 1),
             F.try_divide(F.col("_within"), F.col("total") - F.col("groups")),
         ).alias("f_statistic"),
     )
@@ -132,10 +134,12 @@ def category_test(df: DataFrame, variable: str, by: str) -> DataFrame:
     """Chi-square test of independence of a category and the groups."""
     pairs = df.select(F.col(variable).alias("_level"), F.col(by).alias("_group")).dropna()
     counts = pairs.groupBy("_level", "_group").agg(F.count(F.lit(1)).alias("n"))
+    # As doubles: the square of a count above three billion does not fit a long.
+    n = F.col("n").cast("double")
     rows = counts.groupBy("_level").agg(F.sum("n").alias("_row"))
     cols = counts.groupBy("_group").agg(F.sum("n").alias("_col"))
     # Sum over cells of n^2 / (row * column): absent cells add nothing to it.
-    ratio = F.col("n") * F.col("n") / (F.col("_row").cast("double") * F.col("_col"))
+    ratio = n * n / (F.col("_row").cast("double") * F.col("_col"))
     out = counts.join(rows, "_level").join(cols, "_group").agg(
         F.sum("n").alias("total"),
         F.sum(ratio).alias("_sum"),

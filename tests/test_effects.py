@@ -291,6 +291,32 @@ def test_dropped_rows_and_edge_cohorts(spark):
     )
 
 
+def test_a_repeated_month_does_not_make_up_for_a_missing_one(spark):
+    pdf, _ = make_panel(spark)
+    broken = pd.concat([pdf.drop(index=3), pdf.iloc[[9]]])
+    df = spark.createDataFrame(broken)
+    keys = ("y", "unit", "t", "g", ["x1", "x2"])
+    got = as_dict(att_gt(df, *keys))
+    cross = as_dict(att_gt(df, *keys, panel_mode="cross_section"))
+    assert got and all(math.isclose(got[k]["att"], cross[k]["att"]) for k in got)
+    with pytest.raises(ValueError, match="1 rows repeat"):
+        att_gt(df, *keys, panel_mode="panel")
+    for covariates in (["x1"], []):
+        with pytest.raises(ValueError, match="1 rows repeat"):
+            estimate(df, *keys[:4], covariates, draws=10)
+
+
+def test_covariates_that_change_are_refused(spark):
+    _, df = make_panel(spark)
+    moving = df.withColumn("x1", F.when((F.col("unit") == 4) & (F.col("t") == 2), 9.0).otherwise(F.col("x1")))
+    with pytest.raises(ValueError, match="change over time in 1 units"):
+        att_gt(moving, "y", "unit", "t", "g", ["x1"])
+    in_two = df.withColumn("g", F.when((F.col("unit") == 4) & (F.col("t") == 2), 7).otherwise(5).cast("long"))
+    in_two = df.where("unit <> 4").unionByName(in_two.where("unit = 4"))
+    with pytest.raises(ValueError, match="change over time in 1 units"):
+        att_gt(in_two, "y", "unit", "t", "g", ["x1"])
+
+
 def test_singular_covariates_give_a_note(spark):
     pdf, _ = make_panel(spark, noise=1.0)
     pdf["x3"] = pdf["x1"] * 2

@@ -228,6 +228,16 @@ def test_group_tests(spark):
     assert chi["p_value"] == pytest.approx(0.0833, abs=1e-3)
 
 
+def test_averages_weigh_by_units_with_complete_rows(spark):
+    """Three units of one cohort never have an outcome, so they carry no weight."""
+    data = [(u, t, g, (None if u in (3, 4, 5) else float(u + (t >= g > 0) * g)), 1.0)
+            for u, g in [(1, 3), (2, 4), (3, 4), (4, 4), (5, 4), (6, 0), (7, 0)] for t in range(1, 6)]
+    df = spark.createDataFrame(data, "zip int, month_idx int, treat_idx int, rate double, x double")
+    out = models.effects_and_averages(df, y="rate")
+    # Cohort 3 has three treated months of effect 3, cohort 4 two of effect 4, one unit each.
+    assert abs(out["simple"].first()["att"] - (3 * 3 + 2 * 4) / 5) < 1e-9
+
+
 def test_models(spark):
     data = [
         (u, t, g, float(u % 7) + 0.1 * t + (1.5 if g and t >= g else 0.0) + 0.01 * ((u * 31 + t * 17) % 13))
