@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import __spark_entry__ as entry
 import check_oracles
+from panelwright import catalog
 
 ROWS_ONLY = {
     "att_bands", "att_gt_dr_three_covariates", "att_gt_dr_unbalanced", "dynamic_bands",
@@ -28,7 +29,7 @@ def test_query_matches_sql(spark, db, sf_dir, name):
 
 
 def test_only_iterative_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == ROWS_ONLY
 
 
 def test_entry(spark):
