@@ -22,7 +22,7 @@ HEX = r"[0-9a-f]{24,}+"
 
 #: Weak parts: an account name, a long random-looking word, and where to use them.
 USER = r"(?<![A-Za-z0-9_])(?i:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)[\"']?+\x20*+[:=]\x20*+[\"']?+[A-Za-z0-9@._-]{3,}+"
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{20,64}+={0,2}+(?![A-Za-z0-9+/_=-])"
+RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?i:https?|ftps?|ssh|jdbc:[a-z0-9]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]++"
 
 #: Parts belong together if they start within so many code points of each other.

@@ -110,6 +110,25 @@ def test_weak_parts_need_complements(spark):
     assert got[4]["spans"] == "user:0:12,assign:13:31"
 
 
+def test_values_after_an_equals_sign_and_long_values(spark):
+    key, access = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AKIA" + "Q" * 16
+    storage = "a1B2" * 21 + "ab=="
+    token = "x9Y" * 3000
+    rows = [
+        (1, f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={key}"),
+        (2, f"{access} {storage}"),
+        (3, f"{access} AccountKey={storage};x"),
+        (4, f"{access} {token}"),
+        (5, f"key={key}"),
+        (6, f"{access} {'x' * 200} {'7' * 200}"),
+    ]
+    got = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), value in zip(rows, [key, storage, storage, token], strict=False):
+        start = text.index(value)
+        assert got[i]["spans"].endswith(f",value:{start}:{start + len(value)}") and got[i]["n_linked"] == 1, i
+    assert got[5]["n_linked"] == got[6]["n_linked"] == 0
+
+
 @pytest.mark.parametrize("name,rule", [("op7_personal_data", private), ("op8_secrets", secret)])
 def test_queries_against_plain_search(spark, name, rule):
     sf = "/root/testdata/sf0.01"
