@@ -59,10 +59,23 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
 
 
+def _packed(values: np.ndarray, top: float) -> list[bytes]:
+    """Per vector its largest component, as a share of ``top``, and its components rounded to 8 bits of that."""
+    own = np.abs(values).max(axis=1, keepdims=True).astype(np.float64)
+    rounded = np.rint(values / own * 127).astype(np.int8)
+    return [a.tobytes() + b.tobytes() for a, b in zip((own / top).astype(np.float32), rounded, strict=True)]
+
+
+def _unpacked(codes: bytes, n: int) -> np.ndarray:
+    """The rounded vectors of n codes, one after the other."""
+    raw = np.frombuffer(codes, np.uint8).reshape(n, -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+
+
 def _codes(column) -> np.ndarray:
-    """Fixed-length binary rows as a float32 matrix of their signed bytes."""
+    """Codes of equal length as a float32 matrix of the rounded vectors."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.int8).reshape(len(values), -1).astype(np.float32)
+    return _unpacked(b"".join(values), len(values))
 
 
 def _lists(first: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> list[pa.Array]:
@@ -256,8 +269,7 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width:
             out = [[], [], []]
             columns = [batch.column(c).to_pylist() for c in ("id", "bar", "code", "others", "codes")]
             for query, bar, code, others, codes in zip(*columns, strict=True):
-                one = np.frombuffer(code, np.int8).astype(np.float32)
-                sims = np.frombuffer(codes, np.int8).reshape(len(others), -1).astype(np.float32) @ one
+                sims = _unpacked(codes, len(others)) @ _unpacked(code, 1)[0]
                 good = np.array(others)
                 better = (sims > bar) & (good != query)
                 out[0].append(np.full(better.sum(), query))
@@ -313,7 +325,7 @@ def nearest(
     take no part, nor do those that differ in length from most. Equal vectors are one node of the
     graph; the least k + 1 ids of each node are kept, which is all that a query can need. Null
     ids take no part; of rows repeated with one id and vector one counts. The graph compares
-    vectors rounded to 8 bits; found candidates are ranked by their exact products.
+    vectors rounded to 8 bits of their own largest component; found candidates are ranked by their exact products.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("vec"), F.col(vector).cast("array<float>").alias("v"))
@@ -328,8 +340,7 @@ def nearest(
 
     @F.arrow_udf("binary")
     def code(column: pa.Array) -> pa.Array:
-        values = np.clip(np.rint(_matrix(column) * (127 / top)), -127, 127).astype(np.int8)
-        return pa.array([x.tobytes() for x in values], pa.binary())
+        return pa.array(_packed(_matrix(column), top), pa.binary())
 
     # The least ids of each vector, first within shares of its copies.
     shares = rows.groupBy("h1", "h2", F.pmod(F.xxhash64("vec"), F.lit(256)).alias("share")).agg(

@@ -51,3 +51,15 @@ def test_awkward_rows(spark):
     assert neighbours.nearest(df.limit(0)).collect() == []
     one = spark.createDataFrame([(0, v)], "vec_id long, embedding array<float>")
     assert neighbours.nearest(one).collect() == []
+
+
+def test_recall_beside_a_few_large_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 256)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(200, 32))[rng.integers(0, 200, 3000)] + rng.normal(size=(3000, 32)) * 0.5
+    vectors[[5, 105, 205]] *= 100
+    vectors[[7, 1007]] *= 1000
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors.astype(np.float32))]
+    want = exact([r[0] for r in rows], vectors, 20)
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert recall(got, want) > 0.9
