@@ -312,7 +312,7 @@ def cheapest(rows: DataFrame) -> DataFrame:
     kind = rows.schema["conv"].dataType
     meta = materialise(faults(rows.drop("text")))
     order = ["conv", F.col("turn").asc_nulls_first(), "role", "key"]
-    parts = len_parts(meta)
+    parts = _range_count(meta)
     ranged = meta.repartitionByRange(parts, *order) if parts > 1 else meta.coalesce(1)
     schema = _PARTS.format(kind.simpleString())
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -328,7 +328,7 @@ def cheapest(rows: DataFrame) -> DataFrame:
     return materialise(closed.union(split.select(*columns)))
 
 
-def len_parts(meta: DataFrame) -> int:
+def _range_count(meta: DataFrame) -> int:
     """Ranges for a written table of rows: one for each 200,000, at least as many as the session's tasks if there is enough."""
     n = meta.count()
     return max(1, min(-(-n // 2_000), max(-(-n // 200_000), meta.sparkSession.sparkContext.defaultParallelism)))
