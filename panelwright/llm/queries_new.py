@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import conversations, spelling
+from panelwright.llm import conversations, language_model, spelling
 from panelwright.llm.registry import query, table
 
 
@@ -65,3 +65,10 @@ SELECT f.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM form
 def op11_spelling_variants(spark, sf_dir):
     """Every word with its near words, its form and the root of its forms."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_language_scores(spark, sf_dir):
+    """Every document with its log10 probability by word counts and by the context-mixing model."""
+    found = language_model.held_out_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
