@@ -7,19 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelwright.effects.aggregate import KINDS
 from panelwright.effects.design import Design
 from panelwright.effects.fit import Fit, fit, tidy_rows
-from panelwright.effects.influence import influence_totals
+from panelwright.effects.influence import cell_chunks, column_errors, covariance, mapped_chunk, unit_arrays
 from panelwright.effects.numbers import chi2_tail, normal_quantile
+from panelwright.session import materialise
 from panelwright.sources.scan import literal_table
 
 BANDS = (
     "kind STRING, group INT, time INT, level INT, estimate DOUBLE, std_error DOUBLE, "
     "crit DOUBLE, conf_low DOUBLE, conf_high DOUBLE, significant BOOLEAN"
 )
-WALD = "statistic DOUBLE, df INT, p_value DOUBLE, note STRING"
+WALD = "statistic DOUBLE, df INT, rank INT, p_value DOUBLE, note STRING"
 
 
 def estimate(
@@ -44,21 +46,25 @@ def estimate(
     rows = tidy_rows(panel, y, unit, time, group, covariates, design)
     # Without covariates all methods are the same difference of means.
     fitted = fit(rows, design, len(covariates), method if covariates else "reg", panel_mode)
-    totals = influence_totals(fitted, draws, seed)
-    return Estimate(fitted, totals.get("draw"), totals["cross"], alpha, panel.sparkSession)
+    fitted.shape.require_units()
+    units = materialise(unit_arrays(fitted, seed))
+    sizes = {r["cohort"]: r["n"] for r in units.groupBy("cohort").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Estimate(fitted, units, sizes, draws, alpha, panel.sparkSession)
 
 
 @dataclass
 class Estimate:
-    """Effects with the sums needed for every standard error and band.
+    """Effects with the units that every standard error and band is computed from.
 
-    All averages are linear in the influence columns, so one distributed pass
-    serves the cells and the four averages.
+    All averages are linear in the influence of units on cells, cohort shares and a constant. Each
+    band is one pass over the units, in which a task maps influence values to the rows of the
+    band at once; nothing has the size of cells x cells.
     """
 
     fit: Fit
-    draws: np.ndarray | None
-    cross: np.ndarray
+    units: DataFrame
+    sizes: dict[int, int]
+    draws: int
     alpha: float
     spark: SparkSession
 
@@ -67,11 +73,10 @@ class Estimate:
 
     @property
     def n_units(self) -> float:
-        return float(self.cross[-1, -1])
+        return float(sum(self.sizes.values()))
 
     def size(self, group: int) -> float:
-        at = len(self.fit.results) + self.fit.design.cohorts.index(group)
-        return float(self.cross[at, -1])
+        return float(self.sizes.get(group, 0))
 
     def _usable(self):
         return [(c, r) for c, r in enumerate(self.fit.results) if r.att is not None]
@@ -96,7 +101,7 @@ class Estimate:
         return value, out
 
     def _unit(self, c: int) -> np.ndarray:
-        out = np.zeros(self.cross.shape[0])
+        out = np.zeros(len(self.fit.results) + len(self.fit.design.cohorts) + 2)
         out[c] = 1.0
         return out
 
@@ -140,28 +145,19 @@ class Estimate:
             )
         return levels, values, maps, overall
 
-    def _errors(self, maps) -> tuple[np.ndarray, float]:
-        """Standard error per map and the simultaneous critical value."""
-        M = np.array(maps).T
+    def _errors(self, columns) -> tuple[np.ndarray, float]:
+        """Standard error per column and the simultaneous critical value of the band."""
+        found = column_errors(self.fit, self.units, columns, self.draws)
         pointwise = normal_quantile(1 - self.alpha / 2)
-        if self.draws is None:
-            return np.sqrt(np.einsum("ij,ik,kj->j", M, self.cross, M)), pointwise
-        spread = self.draws @ M
-        low, high = np.quantile(spread, [0.25, 0.75], axis=0, method="inverted_cdf")
-        errors = (high - low) / (normal_quantile(0.75) - normal_quantile(0.25))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scaled = np.abs(spread / errors)
-        scaled[:, errors <= 1e-12] = 0.0
-        crit = float(
-            np.quantile(scaled.max(axis=1), 1 - self.alpha, method="inverted_cdf")
-        )
-        return errors, crit if crit > 0 else pointwise
+        if not self.draws:
+            return np.sqrt(found["square"]), pointwise
+        crit = float(np.quantile(found["max"], 1 - self.alpha, method="inverted_cdf")) if len(found["max"]) else 0.0
+        return found["error"], crit if crit > 0 else pointwise
 
     def analytic_errors(self) -> dict[tuple[int, int], float]:
-        return {
-            (r.cell.group, r.cell.time): float(np.sqrt(self.cross[c, c]))
-            for c, r in self._usable()
-        }
+        cells = self._usable()
+        squares = column_errors(self.fit, self.units, cell_chunks([c for c, _ in cells]), 0)["square"]
+        return {(r.cell.group, r.cell.time): float(np.sqrt(x)) for (_, r), x in zip(cells, squares, strict=True)}
 
     def bands(self, kind: str = "cells") -> DataFrame:
         """Estimates with errors and a band that covers all rows at once.
@@ -172,26 +168,26 @@ class Estimate:
         rows = []
         if kind == "cells":
             cells = self._usable()
-            errors, crit = self._errors([self._unit(c) for c, _ in cells])
+            errors, crit = self._errors(cell_chunks([c for c, _ in cells])) if cells else ([], 0.0)
             for (_, r), se in zip(cells, errors, strict=True):
                 rows.append(_row(kind, r.cell.group, r.cell.time, None, r.att, se, crit))
             return literal_table(self.spark, rows, BANDS)
         if kind not in KINDS:
             raise ValueError(f"kind must be 'cells' or one of {KINDS}, not {kind!r}")
         levels, values, maps, (value, overall) = self.linear(kind)
-        if levels:
-            errors, crit = self._errors(maps)
-            for level, v, se in zip(levels, values, errors, strict=True):
-                rows.append(_row(kind, None, None, level, v, se, crit))
-        errors, _ = self._errors([overall])
+        every = list(range(len(self.fit.results)))
+        columns = mapped_chunk(every, np.array(maps), 0, True) if levels else []
+        errors, crit = self._errors([*columns, *mapped_chunk(every, np.array([overall]), len(levels), False)])
+        for level, v, se in zip(levels, values, errors[: len(levels)], strict=True):
+            rows.append(_row(kind, None, None, level, v, se, crit))
         crit = normal_quantile(1 - self.alpha / 2)
-        rows.append(_row(kind, None, None, None, value, errors[0], crit))
+        rows.append(_row(kind, None, None, None, value, errors[-1], crit))
         return literal_table(self.spark, rows, BANDS)
 
     def pretest_wald(self) -> DataFrame:
         """Joint test that all effects before treatment are zero.
 
-        With a singular covariance matrix there is no statistic, only the reason.
+        With a singular covariance matrix there is no statistic, only its rank and the reason.
         """
         pre = [
             (c, r)
@@ -199,21 +195,39 @@ class Estimate:
             if not r.cell.post and r.cell.time != r.cell.base
         ]
         if not pre:
-            row = (None, 0, None, "no cells before treatment")
+            row = (None, 0, 0, None, "no cells before treatment")
             return literal_table(self.spark, [row], WALD)
-        at = [c for c, _ in pre]
         values = np.array([r.att for _, r in pre])
-        V = self.cross[np.ix_(at, at)]
-        spread = np.sqrt(V.diagonal())
-        flat = spread.min() <= 1e-12
-        if flat or np.linalg.cond(V / np.outer(spread, spread)) > 1 / np.finfo(float).eps:
-            row = (None, len(at), None, "singular covariance matrix")
+        statistic, rank = quadratic_form(covariance(self.fit, self.units, [c for c, _ in pre]), values)
+        if rank < len(pre):
+            row = (None, len(pre), rank, None, "singular covariance matrix")
         else:
-            statistic = float(values @ np.linalg.solve(V, values))
-            row = (statistic, len(at), chi2_tail(statistic, len(at)), None)
+            row = (statistic, len(pre), rank, chi2_tail(statistic, len(pre)), None)
         return literal_table(self.spark, [row], WALD)
 
 
+def quadratic_form(V: np.ndarray, x: np.ndarray, tolerance=1e-11) -> tuple[float, int]:
+    """x' V^-1 x and the rank of V, by a Cholesky factorisation that takes the largest pivot left.
+
+    Rows are scaled to a unit diagonal first; pivots at or below the tolerance are zero.
+    """
+    spread = np.sqrt(np.maximum(V.diagonal(), 0))
+    scale = np.where(spread > 1e-12, spread, np.inf)
+    rest, x = V / np.outer(scale, scale), x / scale
+    left, total, rank = np.arange(len(x)), 0.0, 0
+    while len(left):
+        at = left[np.argmax(rest[left, left])]
+        pivot = rest[at, at]
+        if pivot <= tolerance:
+            break
+        total += x[at] ** 2 / pivot
+        left, rank = left[left != at], rank + 1
+        column = rest[left, at] / pivot
+        x[left] -= column * x[at]
+        rest[np.ix_(left, left)] -= np.outer(column, rest[at, left])
+    return float(total), rank
+
+
 def _row(kind, group, time, level, value, error, crit):
     error = float(error)
     if not np.isfinite(error) or error <= 1e-12:

@@ -11,7 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -125,35 +125,119 @@ def _months_cell(out, spec, cell, treated, control, X, Y):
             out[rows] += sign * total
 
 
-def influence_sums(spec: dict):
-    """mapInArrow function: bootstrap sums and cross products of influence values.
+# Cells whose influence values are held at once.
+CELLS_HELD = 256
 
-    Columns are the cells, one indicator per cohort, and a constant.
+
+def column_values(spec: dict, column: dict, cohort, X, Y) -> np.ndarray:
+    """Values of every unit on a few result columns: its influence on cells, or a linear map of it.
+
+    A map has rows for the cells, the cohorts and a constant; cells are gone through a few at a
+    time, so that only the result columns are held.
+    """
+    cells = column["cells"]
+    if column["map"] is None:
+        return influence({**spec, "cells": [spec["cells"][c] for c in cells]}, cohort, X, Y)
+    weights = column["map"]
+    out = (cohort[:, None] == np.array(spec["cohorts"])) @ weights[len(cells) : -1] + weights[-1]
+    for start in range(0, len(cells), CELLS_HELD):
+        some = cells[start : start + CELLS_HELD]
+        out += influence({**spec, "cells": [spec["cells"][c] for c in some]}, cohort, X, Y) @ weights[start : start + len(some)]
+    return out
+
+
+def _by_group(batches, spec):
+    """(group, hashes, cohort, X, Y) of batches that are sorted by group."""
+    for batch in batches:
+        groups = batch.column(batch.schema.get_field_index("group")).to_numpy(zero_copy_only=False)
+        for group in np.unique(groups):
+            yield int(group), *unpack(batch.filter(pa.array(groups == group)), spec["k"], spec["months"])
+
+
+def _partial(chunk: int, part: int, matrix: np.ndarray) -> pa.RecordBatch:
+    n = len(matrix)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(list(matrix), pa.list_(pa.float64()))],
+        names=["chunk", "part", "i", "values"],
+    )
+
+
+def column_sums(spec: dict):
+    """mapInArrow function: squares (row 0) and bootstrap sums (rows 1..) of result columns.
+
+    A task holds draws x columns of one group of chunks, never cells x cells.
     """
 
     def run(batches):
-        cohorts = np.array(spec["cohorts"])
-        width = len(spec["cells"]) + len(cohorts) + 1
-        drawn = np.zeros((spec["draws"], width))
-        cross = np.zeros((width, width))
-        empty = True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            empty = False
-            hashes, cohort, X, Y = unpack(batch, spec["k"], spec["months"])
-            Z = np.hstack(
-                [
-                    influence(spec, cohort, X, Y),
-                    (cohort[:, None] == cohorts).astype(float),
-                    np.ones((len(cohort), 1)),
-                ]
-            )
-            cross += Z.T @ Z
-            if spec["draws"]:
-                drawn += multipliers(hashes, spec["draws"]).T @ Z
-        if not empty:
-            yield sums_batch({"draw": drawn, "cross": cross})
+        part = TaskContext.get().partitionId()
+        current, totals = None, {}
+        for group, hashes, cohort, X, Y in _by_group(batches, spec):
+            if group != current:
+                yield from (_partial(c, part, total) for c, total in totals.items())
+                current, totals = group, {c: 0.0 for c in spec["groups"][group]}
+            V = multipliers(hashes, spec["draws"]).T if spec["draws"] else None
+            for c in totals:
+                values = column_values(spec, spec["columns"][c], cohort, X, Y)
+                squares = (values**2).sum(axis=0)[None, :]
+                totals[c] = totals[c] + (squares if V is None else np.concatenate([squares, V @ values]))
+        yield from (_partial(c, part, total) for c, total in totals.items())
+
+    return run
+
+
+def cross_sums(spec: dict):
+    """mapInArrow function: blocks of the cross products of influence values, one for each two chunks of cells."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        current, totals = None, {}
+        for group, _, cohort, X, Y in _by_group(batches, spec):
+            if group != current:
+                yield from (_partial(c, part, total) for c, total in totals.items())
+                current, totals = group, {c: 0.0 for c in spec["groups"][group]}
+            held = {}
+            for c in totals:
+                one, two = (
+                    held.setdefault(i, influence({**spec, "cells": [spec["cells"][x] for x in spec["chunks"][i]]}, cohort, X, Y))
+                    if i not in held else held[i] for i in spec["blocks"][c]
+                )
+                totals[c] = totals[c] + one.T @ two
+        yield from (_partial(c, part, total) for c, total in totals.items())
+
+    return run
+
+
+def add_partials(table: pa.Table) -> pa.Table:
+    """applyInArrow function: add the partial rows of a few tasks for one chunk."""
+    values = table.column("values").combine_chunks()
+    index = table.column("i").to_numpy()
+    total = np.zeros((int(index.max()) + 1, len(values[0].values)))
+    np.add.at(total, index, values.flatten().to_numpy(zero_copy_only=False).reshape(len(index), -1))
+    return pa.Table.from_batches([_partial(table.column("chunk")[0].as_py(), table.column("part")[0].as_py(), total)])
+
+
+def column_spread(spec: dict):
+    """applyInArrow function: per column of a chunk its squares and its error, per draw the largest scaled deviation."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        values = table.column("values").combine_chunks()
+        order = np.argsort(table.column("i").to_numpy())
+        sums = values.flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)[order]
+        squares, spread = sums[0], sums[1:]
+        at = spec["columns"][chunk]["first"] + np.arange(len(squares))
+        kinds, index, found = ["square"] * len(at), [*at], [*squares]
+        if len(spread):
+            low, high = np.quantile(spread, [0.25, 0.75], axis=0, method="inverted_cdf")
+            errors = (high - low) / spec["width"]
+            kinds, index, found = kinds + ["error"] * len(at), index + [*at], found + [*errors]
+            if spec["columns"][chunk]["band"]:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scaled = np.abs(spread / errors)
+                scaled[:, errors <= 1e-12] = 0.0
+                kinds, index = kinds + ["max"] * len(spread), index + [*range(len(spread))]
+                found += [*scaled.max(axis=1)]
+        return pa.table({"kind": pa.array(kinds, pa.string()), "i": pa.array(index, pa.int32()), "value": pa.array(found, pa.float64())})
 
     return run
 
@@ -204,62 +288,103 @@ def moment_terms(spec: dict, cohort, X, Y):
     return terms
 
 
-def below(X: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Indicator units x points: every covariate at or below the point."""
-    inside = np.ones((len(X), len(points)))
-    for j in range(points.shape[1]):
-        inside *= X[:, j + 1][:, None] <= points[:, j][None, :]
-    return inside
-
-
-def moment_sums(spec: dict):
-    """mapInArrow function: moments of a pre-test for a block of points.
+def moment_scalars(spec: dict):
+    """mapInArrow function: sums over units that no point changes.
 
-    One row per cell: treated sums, odds-weighted control sums, and the same
-    control sums times each covariate, for all points of the block.
+    Row ``draw`` b: per cell the drawn treated share, odds share and scores; row ``odds`` c: the
+    odds-weighted covariates of cell c.
     """
 
     def run(batches):
-        points = spec["points"]
-        p, u = spec["k"] + 1, len(points)
-        total = np.zeros((len(spec["cells"]), (2 + 2 * p) * u))
+        p, n_cells = spec["k"] + 1, len(spec["cells"])
+        drawn = np.zeros((spec["draws"], n_cells, 2 + p))
+        odds_x = np.zeros((n_cells, p))
         for batch in batches:
-            _, cohort, X, Y = unpack(batch, spec["k"], spec["months"])
-            inside = below(X, points)
-            for c, (rows, d, odds, _, change) in enumerate(moment_terms(spec, cohort, X, Y)):
-                part = inside[rows]
-                x = X[rows]
-                weighted = odds * change
-                blocks = [(d * change) @ part, weighted @ part]
-                blocks += [(weighted * x[:, j]) @ part for j in range(p)]
-                blocks += [np.full(u, (odds * x[:, j]).sum()) for j in range(p)]
-                total[c] += np.concatenate(blocks)
-        yield sums_batch({"moment": total})
+            if not batch.num_rows:
+                continue
+            hashes, cohort, X, Y = unpack(batch, spec["k"], spec["months"])
+            V = multipliers(hashes, spec["draws"]).T
+            for c, (rows, d, odds, p_hat, _) in enumerate(moment_terms(spec, cohort, X, Y)):
+                cell = spec["cells"][c]
+                weights = np.column_stack([d / cell["n1"], odds / cell["w0"], (d - p_hat)[:, None] * X[rows]])
+                drawn[:, c] += V[:, rows] @ weights
+                odds_x[c] += odds @ X[rows]
+        yield sums_batch({"draw": drawn.reshape(spec["draws"], n_cells * (2 + p)), "odds": odds_x})
 
     return run
 
 
-def moment_draws(spec: dict):
-    """mapInArrow function: bootstrap sums of the moment influence, draws x (cell, point)."""
+def moment_columns(spec: dict, first: int, last: int, hashes, cohort, X, Y):
+    """Per cell first..last: rows of the block in use and their terms, one column for the test and one per draw.
+
+    The moment at a point adds the terms of all units at or below it.
+    """
+    V = multipliers(hashes, spec["draws"])
+    part = {**spec, "cells": spec["cells"][first:last]}
+    for c, (rows, d, odds, _, change) in enumerate(moment_terms(part, cohort, X, Y), first):
+        cell = spec["cells"][c]
+        one, other = d * change / cell["n1"], odds * change / cell["w0"]
+        # How the estimated weights of the controls move the moment, per unit.
+        slope = -(other[:, None] * X[rows] - np.outer(other, cell["odds_x"]) / cell["w0"]) @ cell["inverse"]
+        treated, controls, scores = spec["drawn"][:, c, 0], spec["drawn"][:, c, 1], spec["drawn"][:, c, 2:]
+        drawn = V[rows] * (one - other)[:, None] - np.outer(one, treated) + np.outer(other, controls) + slope @ scores.T
+        yield rows, np.column_stack([one - other, drawn])
+
+
+def _block(row: dict, side: str, k: int, months: int):
+    hashes = np.array(row[f"{side}_hash"], dtype=np.int64)
+    X = np.ones((len(hashes), k + 1))
+    X[:, 1:] = np.array(row[f"{side}_x"], dtype=float).reshape(len(hashes), k)
+    return hashes, np.array(row[f"{side}_cohort"]), X, np.array(row[f"{side}_y"], dtype=float).reshape(len(hashes), months)
+
+
+def _pair_total(spec: dict, row: dict, above: np.ndarray) -> np.ndarray:
+    """Sum of products of the terms of two blocks, weighted by the points at or above both units."""
+    one = _block(row, "a", spec["k"], spec["months"])
+    two = one if row["a"] == row["b"] else _block(row, "b", spec["k"], spec["months"])
+    total = np.zeros(1 + spec["draws"])
+    last = min(row["chunk"] + spec["chunk"], len(spec["cells"]))
+    first_columns = moment_columns(spec, row["chunk"], last, *one)
+    second_columns = moment_columns(spec, row["chunk"], last, *two)
+    low = (one[2].max(axis=0) <= two[2].min(axis=0)).all()
+    for (rows, terms), (others, other_terms) in zip(first_columns, second_columns, strict=True):
+        if not len(rows) or not len(others):
+            continue
+        if low:  # the first block lies below the second one: only the second unit matters
+            total += terms.sum(axis=0) * (above[0, others] @ other_terms)
+        else:
+            total += (terms * (above[np.ix_(rows, others)] @ other_terms)).sum(axis=0)
+    return total if row["a"] == row["b"] else 2 * total
+
+
+def pair_sums(spec: dict):
+    """mapInArrow function: sums over pairs of blocks of units.
+
+    Rows come sorted by pair and chunk of cells: first the units of both blocks, then blocks of
+    points, which are counted for every two units. Memory is bounded by two blocks.
+    """
 
     def run(batches):
-        points = spec["points"]
-        u = len(points)
-        drawn = np.zeros((spec["draws"], len(spec["cells"]) * u))
+        total = np.zeros(1 + spec["draws"])
+        row = above = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes, cohort, X, Y = unpack(batch, spec["k"], spec["months"])
-            V = multipliers(hashes, spec["draws"]).T
-            inside = below(X, points)
-            for c, (rows, d, odds, p, change) in enumerate(moment_terms(spec, cohort, X, Y)):
-                cell = spec["cells"][c]
-                v = V[:, rows]
-                one, weight = d / cell["n1"], odds / cell["w0"]
-                value = (v * ((one - weight) * change)) @ inside[rows]
-                value -= np.outer(v @ one, cell["level1"]) - np.outer(v @ weight, cell["level0"])
-                value += ((v * (d - p)) @ X[rows]) @ cell["u_gamma"]
-                drawn[:, c * u : (c + 1) * u] += value
-        yield sums_batch({"draw": drawn})
+            for new in batch.to_pylist():
+                if new["kind"] == 0:
+                    if row is not None:
+                        total += _pair_total(spec, row, above)
+                    row = new
+                    x = [np.array(new[f"{s}_x"], dtype=float).reshape(len(new[f"{s}_hash"]), spec["k"]) for s in "ab"]
+                    above = np.zeros((len(x[0]), len(x[1])))
+                    continue
+                points = np.array(new["p_x"], dtype=float).reshape(len(new["p_weight"]), spec["k"])
+                weight = np.array(new["p_weight"], dtype=float)
+                inside = [np.ones((len(one), len(points))) for one in x]
+                for one, flags in zip(x, inside, strict=True):
+                    for j in range(spec["k"]):
+                        flags *= one[:, j][:, None] <= points[:, j][None, :]
+                above += (inside[0] * weight) @ inside[1].T
+        if row is not None:
+            total += _pair_total(spec, row, above)
+        yield sums_batch({"sum": total[None, :]})
 
     return run

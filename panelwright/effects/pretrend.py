@@ -4,14 +4,18 @@ For every cell before treatment, ``J(u)`` is the weighted change of treated minu
 controls among units whose covariates all lie at or below ``u``. The statistic
 adds ``n * J(u)^2`` over cells, averaged over the evaluation points ``u``.
 
-Points are handled block by block. A block is small by construction and goes to
-every task, each task returns sums for its units, and Spark adds them. Memory is
-bounded by the block, the work by units x points x cells as the test demands.
+Every moment, drawn ones too, is a dominance sum: terms of units added over those at
+or below the point. Its square, added over points, is a sum over pairs of units of the
+product of their terms times the number of points at or above both. Units are sorted into
+blocks by quantiles of the covariates, and each pair of blocks is a task's row. Blocks of
+points that lie below a pair in some covariate are not sent to it; where one block lies
+wholly below the other, only totals of the first are needed. No point passes the driver, and
+the number of jobs depends on neither points nor draws.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,25 +36,58 @@ from panelwright.sources.scan import literal_table
 
 PRETEST = (
     "statistic DOUBLE, critical_value DOUBLE, p_value DOUBLE, "
-    "n_units BIGINT, n_cells INT, n_points BIGINT, note STRING"
+    "n_units BIGINT, n_dropped BIGINT, n_cells INT, n_points BIGINT, note STRING"
 )
-# Numbers held per task: draws x cells x points of one block.
-BLOCK_NUMBERS = 4_000_000
-BLOCK_POINTS = 256
-
-
-def _point_blocks(points: DataFrame, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct covariate points with the number of units at each, block by block."""
+# Units in a block, and cells that one row of a task handles.
+BLOCK_UNITS = 128
+CELLS_AT_ONCE = 64
+
+
+def _blocked(units: DataFrame, k: int, n_units: int) -> DataFrame:
+    """Units with their block: ranges of every covariate, crowded ones split by hash."""
+    if n_units <= BLOCK_UNITS:
+        return units.withColumn("block", F.lit(0).cast("long"))
+    if not k:
+        return units.withColumn("block", F.pmod("hash", F.lit(-(-n_units // BLOCK_UNITS))))
+    strips = int(np.ceil((n_units / BLOCK_UNITS) ** (1 / k)))
     names = [f"x{i}" for i in range(1, k + 1)]
-    block, copies = [], []
-    for row in points.toLocalIterator():
-        block.append([row[c] for c in names])
-        copies.append(row["copies"])
-        if len(block) == BLOCK_POINTS:
-            yield np.array(block).reshape(len(block), k), np.array(copies, float)
-            block, copies = [], []
-    if block:
-        yield np.array(block).reshape(len(block), k), np.array(copies, float)
+    shares = [i / strips for i in range(1, strips)]
+    cuts = units.approxQuantile(names, shares, 0.25 / strips) if shares else [[]] * k
+    place = F.lit(0).cast("long")
+    for name, bounds in zip(names, cuts, strict=True):
+        bounds = sorted(set(bounds))
+        if bounds:
+            passed = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda c: c < F.col(name)))  # noqa: B023
+            place = place * strips + passed
+    placed = units.withColumn("place", place)
+    crowd = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK_UNITS).alias("parts"))
+    split = placed.join(crowd, "place").withColumn("part", F.pmod("hash", F.col("parts")))
+    return split.select(*units.columns, (F.col("place") * (1 << 20) + F.col("part")).alias("block"))
+
+
+def _pairs(blocks: DataFrame, k: int, n_cells: int) -> DataFrame:
+    """Rows for ``kernels.pair_sums``: units of every pair of blocks, and the points they need."""
+    box = [f"{end}{i}" for end in ("low", "high") for i in range(1, k + 1)]
+    boxes = materialise(blocks.select("block", *box))
+    left = boxes.select(F.col("block").alias("a"), *[F.col(f"low{i}").alias(f"al{i}") for i in range(1, k + 1)])
+    right = boxes.select(F.col("block").alias("b"), *[F.col(f"low{i}").alias(f"bl{i}") for i in range(1, k + 1)])
+    pairs = left.join(right, F.col("a") <= F.col("b"))
+    reached = F.lit(True)
+    for i in range(1, k + 1):
+        reached = reached & (F.col(f"high{i}") >= F.col(f"al{i}")) & (F.col(f"high{i}") >= F.col(f"bl{i}"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(n_cells - 1, 0)), F.lit(CELLS_AT_ONCE))).alias("chunk")
+    fields = ("hash", "cohort", "x", "y")
+    sides = {
+        side: blocks.select(F.col("block").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in fields]) for side in "ab"
+    }
+    points = blocks.select(F.col("block").alias("p"), F.col("x").alias("p_x"), F.col("weight").alias("p_weight"))
+    unit_rows = pairs.select("a", "b").join(sides["a"], "a").join(sides["b"], "b").withColumn("kind", F.lit(0))
+    point_rows = pairs.join(boxes.withColumnRenamed("block", "p"), reached).select("a", "b", "p").join(points, "p")
+    rows = unit_rows.unionByName(point_rows.drop("p").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = rows.select("*", chunks)
+    n = boxes.count()
+    parts = min(n * (n + 1) // 2 * -(-n_cells // CELLS_AT_ONCE), 20_000)
+    return rows.repartition(max(1, parts), "a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "kind")
 
 
 def pretest(
@@ -62,88 +99,63 @@ def pretest(
     covariates: Iterable[str] = (),
     control="notyettreated",
     eval_points: int | None = None,
-    draws=200,
+    draws=1000,
     seed=1,
     alpha=0.05,
     design: Design | None = None,
 ) -> DataFrame:
     """One row: statistic, critical value and p-value.
 
-    Units seen in every month take part. By default all their distinct covariate
-    points are evaluated; ``eval_points`` asks for a sample of about that many
-    (chosen by hash, so repeatable) when the full test is too costly.
+    Units seen in every month take part; ``n_dropped`` counts the others. By default all their
+    distinct covariate points are evaluated; ``eval_points`` asks for a sample of about that many
+    (chosen by hash, so repeatable).
     """
     spark = panel.sparkSession
     covariates = list(covariates)
     k = len(covariates)
     design = design or Design.discover(panel, time, group, control)
     rows = tidy_rows(panel, y, unit, time, group, covariates, design)
-    full = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") == len(design.periods)
-    )
+    counted = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    full = counted.where(F.col("n") == len(design.periods))
+    n_all = counted.count()
     fitted = fit(rows.join(full.select("unit"), "unit", "left_semi"), design, k, "ipw", "panel")
     usable = [r for r in fitted.results if not r.cell.post and r.att is not None]
     if not usable:
-        row = (None, None, None, None, 0, 0, "no cells before treatment")
+        row = (None, None, None, None, None, 0, 0, "no cells before treatment")
         return literal_table(spark, [row], PRETEST)
 
     units = materialise(unit_arrays(fitted, seed))
     n_units = units.count()
     names = [f"x{i}" for i in range(1, k + 1)]
-    if k:
-        points = units.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
-        if eval_points:
-            n_points = points.count()
-            kept = F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(n_points)) < eval_points
-            points = points.where(kept)
-    else:
-        points = units.agg(F.count(F.lit(1)).alias("copies"))
-    points = materialise(points)
-
-    base = {"k": k, "months": len(design.periods), "draws": draws}
-    statistic, drawn_statistic, weight, n_points = 0.0, np.zeros(draws), 0.0, 0
-    per_block = max(1, BLOCK_NUMBERS // (draws * BLOCK_POINTS))
-    for block, copies in _point_blocks(points, k):
-        weight += copies.sum()
-        n_points += len(block)
-        for start in range(0, len(usable), per_block):
-            cells = usable[start : start + per_block]
-            spec = {**base, "points": block, "cells": [cell_spec(fitted, r) for r in cells]}
-            moments = _totals(units, kernels.moment_sums(spec))["moment"]
-            levels = _levels(spec, moments, fitted, cells)
-            statistic += n_units * float((levels**2 @ copies).sum())
-            drawn = _totals(units, kernels.moment_draws(spec))["draw"]
-            squares = (drawn**2).reshape(draws, len(cells), len(block))
-            drawn_statistic += n_units * (squares @ copies).sum(axis=1)
-    statistic /= weight
-    drawn_statistic /= weight
-    critical = float(np.quantile(drawn_statistic, 1 - alpha, method="inverted_cdf"))
-    p_value = float((drawn_statistic > statistic).mean())
-    row = (statistic, critical, p_value, n_units, len(usable), n_points, None)
-    return literal_table(spark, [row], PRETEST)
-
-
-def _totals(units: DataFrame, kernel) -> dict[str, np.ndarray]:
-    return matrices(added_up(units.mapInArrow(kernel, schema=SUMS)))
-
-
-def _levels(spec, moments, fitted, results) -> np.ndarray:
-    """J per cell and point; completes the spec with what the draws need."""
-    p, u = fitted.k + 1, len(spec["points"])
-    out = np.zeros((len(results), u))
-    for c, result in enumerate(results):
+    point = F.xxhash64(*names, F.lit(seed)) if k else F.lit(0).cast("long")
+    n_points = units.select(point.alias("point")).distinct().count()
+    chosen = F.lit(True)
+    if eval_points and k:
+        chosen = F.pmod(point, F.lit(n_points)) < eval_points
+    evaluated = units.where(chosen).agg(F.count(F.lit(1)).alias("weight"), F.count_distinct(point).alias("points")).first()
+
+    spec = {"k": k, "months": len(design.periods), "draws": draws, "chunk": CELLS_AT_ONCE}
+    spec["cells"] = [cell_spec(fitted, r) for r in usable]
+    for cell, result in zip(spec["cells"], usable, strict=True):
         part = result.parts[0]
-        blocks = moments[c].reshape(2 + 2 * p, u)
-        level1, level0 = blocks[0] / part.n1, blocks[1] / part.w0
-        weighted_x, odds_x = blocks[2 : 2 + p], blocks[2 + p :]
-        hessian = fitted.hessians[result.problem]
-        slope = -(weighted_x - level0 * odds_x) / part.w0
-        spec["cells"][c].update(
-            n1=part.n1,
-            w0=part.w0,
-            level1=level1,
-            level0=level0,
-            u_gamma=np.column_stack([solve(hessian, slope[:, j]) for j in range(u)]),
-        )
-        out[c] = level1 - level0
-    return out
+        cell.update(n1=part.n1, w0=part.w0, inverse=solve(fitted.hessians[result.problem], np.eye(k + 1)))
+    totals = matrices(added_up(units.mapInArrow(kernels.moment_scalars(spec), schema=SUMS)))
+    spec["drawn"] = totals.get("draw", np.zeros(0)).reshape(draws, len(usable), k + 3)
+    for cell, odds_x in zip(spec["cells"], totals["odds"], strict=True):
+        cell["odds_x"] = odds_x
+
+    per_unit = _blocked(units.withColumn("weight", chosen.cast("double")), k, n_units)
+    entries = F.collect_list(F.struct("hash", "cohort", F.array(*names).cast("array<double>").alias("x"), "y", "weight")).alias("_u")
+    bounds = [f(c).alias(f"{end}{i}") for i, c in enumerate(names, 1) for end, f in (("low", F.min), ("high", F.max))]
+    blocks = per_unit.groupBy("block").agg(entries, *bounds).select(
+        "block", *[f"_u.{c}" for c in ("hash", "cohort", "weight")], F.flatten("_u.x").alias("x"), F.flatten("_u.y").alias("y"),
+        *[f"{end}{i}" for end in ("low", "high") for i in range(1, k + 1)],
+    )
+    pairs = _pairs(materialise(blocks), k, len(usable))
+    squares = matrices(added_up(pairs.mapInArrow(kernels.pair_sums(spec), schema=SUMS)))["sum"][0]
+    squares *= n_units / evaluated["weight"]
+    statistic, drawn = float(squares[0]), squares[1:]
+    critical = float(np.quantile(drawn, 1 - alpha, method="inverted_cdf")) if draws else None
+    p_value = float((drawn > statistic).mean()) if draws else None
+    row = (statistic, critical, p_value, n_units, n_all - n_units, len(usable), evaluated["points"], None)
+    return literal_table(spark, [row], PRETEST)

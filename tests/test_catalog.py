@@ -13,7 +13,7 @@ from panelwright import catalog
 
 ROWS_ONLY = {
     "att_bands", "att_gt_dr_three_covariates", "att_gt_dr_unbalanced", "dynamic_bands",
-    "group_table", "group_test_p_values", "model_comparison", "pretest_cvm", "pretest_wald",
+    "group_table", "group_test_p_values", "model_comparison", "pretest_cvm", "pretest_three_covariates", "pretest_wald",
 }
 
 

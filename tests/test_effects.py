@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.effects import influence, kernels, pretrend
+from panelwright.effects.bands import quadratic_form
 from panelwright.effects import (
     Design,
     aggregate_att,
@@ -231,7 +233,39 @@ def test_wald_statistic_and_singular_case(spark):
     assert 0 <= row["p_value"] <= 1
     _, flat = make_panel(spark, covariate=False)
     row = estimate(flat, "y", "unit", "t", "g", draws=0).pretest_wald().first()
-    assert row["statistic"] is None and "singular" in row["note"]
+    assert row["statistic"] is None and "singular" in row["note"] and row["rank"] < row["df"]
+
+
+def test_wald_against_a_plain_solution():
+    rng = np.random.default_rng(1)
+    A, x = rng.normal(size=(40, 6)), rng.normal(size=6)
+    V = A.T @ A
+    statistic, rank = quadratic_form(V.copy(), x.copy())
+    assert rank == 6 and statistic == pytest.approx(x @ np.linalg.solve(V, x))
+    A[:, 5] = A[:, 0] - 2 * A[:, 3]
+    A[:, 4] = 0
+    assert quadratic_form(A.T @ A, x)[1] == 4
+
+
+@pytest.mark.parametrize("covariates", [[], ["x1"]])
+def test_chunks_and_groups_change_nothing(spark, monkeypatch, covariates):
+    """Bands and the covariance from chunks of few columns, dealt over several groups of tasks, are the same."""
+    _, panel = make_panel(spark, n=60, noise=1.0)
+    est = estimate(panel, "y", "unit", "t", "g", covariates, draws=40)
+    kinds = ("cells", "dynamic", "simple")
+    whole = [est.bands(kind).collect() for kind in kinds]
+    errors, wald = est.analytic_errors(), est.pretest_wald().first()
+    for name, value in (("COLUMNS", 3), ("BLOCK_CELLS", 3), ("NUMBERS", 200), ("ADDED", 2)):
+        monkeypatch.setattr(influence, name, value)
+    monkeypatch.setattr(kernels, "CELLS_HELD", 2)
+    for kind, rows in zip(kinds, whole, strict=True):
+        for one, two in zip(rows, est.bands(kind).collect(), strict=True):
+            one, two = one.asDict(), two.asDict()
+            assert one.pop("kind") == two.pop("kind") and [x is None for x in one.values()] == [x is None for x in two.values()]
+            assert [x for x in one.values() if x is not None] == pytest.approx([x for x in two.values() if x is not None], rel=1e-9)
+    assert errors == pytest.approx(est.analytic_errors(), rel=1e-9)
+    again = est.pretest_wald().first()
+    assert again["rank"] == wald["rank"] == wald["df"] and again["statistic"] == pytest.approx(wald["statistic"], rel=1e-7)
 
 
 def brute_cvm(pdf):
@@ -268,6 +302,65 @@ def test_pretest_statistic_matches_brute_force(spark):
     assert plain["n_points"] == 1
 
 
+def brute_draws(pdf, hashes, draws):
+    """The drawn statistics by definition: influence values of every moment at every point."""
+    wide = pdf.pivot(index="unit", columns="t", values="y")
+    facts = pdf.groupby("unit")[["g", "x1", "x2"]].first()
+    gg = facts["g"].replace(0, NEVER).to_numpy()
+    x = facts[["x1", "x2"]].to_numpy()
+    V = kernels.multipliers(np.array([hashes[u] for u in facts.index], dtype=np.int64), draws)
+    total = np.zeros(draws)
+    for g in (5, 7):
+        for t in range(2, g):
+            use = (gg == g) | (gg > t)
+            d, v = (gg[use] == g).astype(float), V[use]
+            X = np.column_stack([np.ones(use.sum()), x[use]])
+            p = logit(X, d)
+            odds = p * (1 - d) / (1 - p)
+            dy = (wide[t] - wide[t - 1]).to_numpy()[use]
+            H = (X * (p * (1 - p))[:, None]).T @ X
+            for u in x:
+                one = (x[use] <= u).all(axis=1)
+                level1, level0 = (d * dy * one).sum() / d.sum(), (odds * dy * one).sum() / odds.sum()
+                slope = -((odds * dy * one) @ X - level0 * (odds @ X)) / odds.sum()
+                value = v.T @ (d / d.sum() * (dy * one - level1) - odds / odds.sum() * (dy * one - level0))
+                total += (value + (v * (d - p)[:, None]).T @ X @ np.linalg.solve(H, slope)) ** 2
+    return total
+
+
+def test_pretest_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few units, ties and copies of points among them, give the same test as its definition."""
+    pdf, _ = make_panel(spark, n=100, noise=1.0)
+    pdf["x1"] = pdf["x1"].round(0)
+    copies = pdf["unit"] % 3 == 0
+    first = pdf.loc[pdf["unit"] == pdf["unit"].min()].iloc[0]
+    pdf.loc[copies, ["x1", "x2"]] = [first["x1"], first["x2"]]
+    panel = spark.createDataFrame(pdf)
+    one = pretest(panel, "y", "unit", "t", "g", ["x1", "x2"], draws=60).first()
+    monkeypatch.setattr(pretrend, "BLOCK_UNITS", 9)
+    monkeypatch.setattr(pretrend, "CELLS_AT_ONCE", 3)
+    row = pretest(panel, "y", "unit", "t", "g", ["x1", "x2"], draws=60).first()
+    assert row["statistic"] == pytest.approx(brute_cvm(pdf), rel=1e-8) and row["statistic"] == pytest.approx(one["statistic"], rel=1e-10)
+    hashes = {r["unit"]: r["h"] for r in panel.select("unit", F.xxhash64("unit", F.lit(1)).alias("h")).distinct().collect()}
+    drawn = brute_draws(pdf, hashes, 60)
+    assert row["critical_value"] == pytest.approx(np.quantile(drawn, 0.95, method="inverted_cdf"), rel=1e-7)
+    assert row["p_value"] == pytest.approx((drawn > row["statistic"]).mean())
+    for covariates in (["x1"], []):
+        many = pretest(panel, "y", "unit", "t", "g", covariates, draws=20).first()
+        monkeypatch.setattr(pretrend, "BLOCK_UNITS", 1000)
+        few = pretest(panel, "y", "unit", "t", "g", covariates, draws=20).first()
+        monkeypatch.setattr(pretrend, "BLOCK_UNITS", 9)
+        assert many["statistic"] == pytest.approx(few["statistic"], rel=1e-9) and many["p_value"] == few["p_value"]
+
+
+def test_pretest_counts_dropped_units(spark):
+    pdf, _ = make_panel(spark, n=90, noise=1.0)
+    pdf = pdf[~((pdf["unit"] < 7) & (pdf["t"] == 3))]
+    row = pretest(spark.createDataFrame(pdf), "y", "unit", "t", "g", ["x1", "x2"], draws=0).first()
+    dropped = pdf.loc[pdf["unit"] < 7, "unit"].nunique()
+    assert (row["n_units"], row["n_dropped"]) == (90 - dropped, dropped) and row["p_value"] is None
+
+
 def test_pretest_rejects_a_diverging_cohort(spark):
     pdf, _ = make_panel(spark, n=120, noise=0.5)
     pdf.loc[pdf["g"] == 7, "y"] += 1.5 * pdf.loc[pdf["g"] == 7, "t"]
