@@ -25,6 +25,11 @@ def text_print(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def two_hashes(value: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that say nothing about each other: the second one starts from another seed."""
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the (written) table is counted to be small; else leave it as it is."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import small_side
+from panelwright.llm.common import small_side, two_hashes
 from panelwright.llm.linking import across_labels, group_buckets, shared_buckets
 from panelwright.llm.words import _STEP, _U, mixed, slices
 from panelwright.session import materialise
@@ -176,8 +176,8 @@ def near_duplicates(
     signed = materialise(
         source.select(
             "doc",
-            F.xxhash64(body).alias("h1"),
-            F.xxhash64(body, F.lit(1)).alias("h2"),
+            two_hashes(body)[0].alias("h1"),
+            two_hashes(body)[1].alias("h2"),
             band_keys(bands, rows, width)("body").alias("bands"),
         )
     )
@@ -190,7 +190,7 @@ def near_duplicates(
         two.select(F.col("a").alias("id")).union(two.select("b")).union(members.select("id")).distinct(), "id", "left_semi"
     )
     wanted = materialise(wanted)
-    bodies = source.withColumns({"h1": F.xxhash64(body), "h2": F.xxhash64(body, F.lit(1))})
+    bodies = source.withColumns(dict(zip(("h1", "h2"), two_hashes(body), strict=True)))
     bodies = bodies.join(small_side(wanted), ["h1", "h2"]).dropDuplicates(["id"])
     bodies = materialise(bodies.select("id", bags(width)("body").alias("bag")))
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.llm.common import two_hashes
 from panelwright.session import materialise
 
 #: Neighbours kept for a node, and candidates that one local join offers each of its nodes.
@@ -329,7 +330,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("vec"), F.col(vector).cast("array<float>").alias("v"))
-    rows = materialise(rows.filter(usable(F.col("v")) & F.col("vec").isNotNull()).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))}))
+    rows = materialise(rows.filter(usable(F.col("v")) & F.col("vec").isNotNull()).withColumns(dict(zip(("h1", "h2"), two_hashes(F.col("v")), strict=True))))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     result = "query_id long, rank int, vec_id long, score double"
     if lengths is None:

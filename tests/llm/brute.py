@@ -74,15 +74,13 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def line_groups(lines, simhash, similarity=0.9, distance=3):
-    """{plain line: label} by all pairs of distinct plain lines."""
+def line_groups(lines, similarity=0.9):
+    """{plain line: label} by the edit distance of all pairs of distinct plain lines."""
     lines = sorted(set(lines))
-    hashes = {x: simhash[x] & (2**64 - 1) for x in lines}
     links = []
-    several = [x for x in lines if len(set(x.split())) >= 5]
-    for i, a in enumerate(several):
-        for b in several[i + 1 :]:
-            if (hashes[a] ^ hashes[b]).bit_count() <= distance:
-                if edit_distance(a, b) <= max(len(a), len(b)) * (1 - similarity) + 1e-9:
-                    links.append((a, b))
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            edits = max(len(a), len(b)) * (1 - similarity) + 1e-9
+            if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
+                links.append((a, b))
     return groups(lines, links)
