@@ -215,6 +215,24 @@ def dropped_rows(spark, sf):
     return E.dropped_rows(S.panel(spark, sf), [RATE, *THREE])
 
 
+@query(
+    "C1 C12",
+    "WITH"
+    + S.PANEL_SQL
+    + """, r AS (SELECT zip, COALESCE(cohort = 1, FALSE) AS early, n_violations_per_1k_units IS NULL OR
+  evict_rate_17 IS NULL OR rs_rate_17 IS NULL OR pct_pov_17 IS NULL AS missing FROM panel)
+SELECT 'treated in the first month' AS reason, COUNT(*) FILTER (WHERE early) AS n_rows,
+  COUNT(DISTINCT CASE WHEN early THEN zip END) AS n_units FROM r
+UNION ALL SELECT 'missing value', COUNT(*) FILTER (WHERE NOT early AND missing),
+  COUNT(DISTINCT CASE WHEN NOT early AND missing THEN zip END) FROM r""",
+)
+def left_out_rows(spark, sf):
+    """What an estimation leaves out if the first cohort is treated from the first month on."""
+    found = panels.study_panel(S.panel(spark, sf), S.FIRST_IDX, S.LAST_IDX)
+    found = found.withColumn("treat_idx", F.when(F.col("cohort") == 1, S.FIRST_IDX).otherwise(F.col("treat_idx")))
+    return E.left_out(found, RATE, *KEYS, covariates=THREE)
+
+
 # --- unbalanced panel: mean discount of a supplier's lines in a month ---------------
 
 UNBALANCED_SQL = """
@@ -302,6 +320,33 @@ def pretest_wald(spark, sf):
     return _estimate(spark, sf, draws=0).pretest_wald()
 
 
+FIRST_TREATED = S.TREAT_IDX[1]
+
+
+@query(
+    "C10",
+    VARYING
+    + f""", w AS (
+  SELECT zip, t, y, CASE WHEN g = {FIRST_TREATED} THEN 1 ELSE 0 END AS d FROM y
+  WHERE g IN ({FIRST_TREATED}, 999999) AND t BETWEEN {FIRST_TREATED - 3} AND {FIRST_TREATED - 1}
+), p AS (
+  SELECT a.d, b.y - a.y AS d1, c.y - b.y AS d2 FROM w a JOIN w b ON b.zip = a.zip AND b.t = a.t + 1
+  JOIN w c ON c.zip = a.zip AND c.t = a.t + 2
+), m AS (SELECT d, COUNT(*) AS n, AVG(d1) AS m1, AVG(d2) AS m2 FROM p GROUP BY d
+), v AS (
+  SELECT SUM(POWER((d1 - m1) / n, 2)) AS v11, SUM((d1 - m1) * (d2 - m2) / (n * n)) AS v12, SUM(POWER((d2 - m2) / n, 2)) AS v22
+  FROM p JOIN m USING (d)
+), a AS (
+  SELECT SUM(CASE WHEN d = 1 THEN m1 ELSE -m1 END) AS a1, SUM(CASE WHEN d = 1 THEN m2 ELSE -m2 END) AS a2 FROM m
+), s AS (SELECT (a1 * a1 * v22 - 2 * a1 * a2 * v12 + a2 * a2 * v11) / (v11 * v22 - v12 * v12) AS s FROM v CROSS JOIN a)
+SELECT ROUND(s, 6) AS statistic, 2 AS df, 2 AS rank, ROUND(EXP(-s / 2), 6) AS p_value, CAST(NULL AS VARCHAR) AS note FROM s""",
+)
+def pretest_wald_two_cells(spark, sf):
+    """The Wald test of the first cohort's two cells before treatment in a window of four months, against units never treated."""
+    study = _study(spark, sf).where(F.col("cohort").isin(1, 5) & F.col("month_idx").between(FIRST_TREATED - 3, FIRST_TREATED))
+    return rounded(E.estimate(study, RATE, *KEYS, draws=0).pretest_wald(), "statistic", "p_value")
+
+
 @query("C14 JOB13")
 def model_comparison(spark, sf):
     formulas = {"plain": (), "three": tuple(THREE)}

@@ -6,7 +6,7 @@ Only matrices sized by cohorts, months and bootstrap draws reach the driver.
 """
 
 from panelwright.effects.aggregate import aggregate_att, cohort_sizes
-from panelwright.effects.att import att_gt, att_std_errors, dropped_rows
+from panelwright.effects.att import att_gt, att_std_errors, dropped_rows, left_out
 from panelwright.effects.bands import Estimate, estimate
 from panelwright.effects.result_tables import compare, pretest_table
 from panelwright.effects.design import NEVER, Design
@@ -23,6 +23,7 @@ __all__ = [
     "compare",
     "dropped_rows",
     "estimate",
+    "left_out",
     "pretest",
     "pretest_table",
 ]

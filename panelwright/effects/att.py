@@ -23,6 +23,37 @@ def dropped_rows(panel: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
+def left_out(
+    panel: DataFrame,
+    y: str,
+    unit: str,
+    time: str,
+    group: str,
+    covariates: Iterable[str] = (),
+    design: Design | None = None,
+) -> DataFrame:
+    """Rows and units that an estimation leaves out, one row per reason, zero where there are none.
+
+    Cohorts treated in the first month have no base month; the other rows are left out if a value
+    is missing. A unit counts under each reason that takes a row of it.
+    """
+    design = design or Design.discover(panel, time, group)
+    complete = F.lit(True)
+    for c in (time, y, *covariates):
+        complete = complete & F.col(c).isNotNull()
+    early = ~design.has_base(group)
+    reasons = {"treated in the first month": early, "missing value": ~early & ~complete}
+    counted = panel.agg(
+        *[F.count_if(where).alias(f"rows{i}") for i, where in enumerate(reasons.values())],
+        *[F.count_distinct(F.when(where, F.col(unit))).alias(f"units{i}") for i, where in enumerate(reasons.values())],
+    )
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("reason"), F.col(f"rows{i}").alias("n_rows"), F.col(f"units{i}").alias("n_units"))
+        for i, name in enumerate(reasons)
+    ])
+    return counted.select(F.inline(rows))
+
+
 def att_gt(
     panel: DataFrame,
     y: str,

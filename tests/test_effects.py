@@ -7,8 +7,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.effects import influence, kernels, pretrend
-from panelwright.effects.bands import quadratic_form
 from panelwright.effects import (
     Design,
     aggregate_att,
@@ -18,8 +16,13 @@ from panelwright.effects import (
     compare,
     dropped_rows,
     estimate,
+    influence,
+    kernels,
+    left_out,
     pretest,
+    pretrend,
 )
+from panelwright.effects.bands import quadratic_form
 from panelwright.effects.design import NEVER
 from panelwright.effects.numbers import chi2_tail, f_tail
 
@@ -384,6 +387,16 @@ def test_dropped_rows_and_edge_cohorts(spark):
     )
 
 
+def test_left_out_rows(spark):
+    pdf, _ = make_panel(spark)
+    pdf.loc[pdf["unit"] == 8, "g"] = 1
+    panel = spark.createDataFrame(pdf).withColumn("y", F.when(F.col("unit").isin(4, 8) & (F.col("t") < 4), None).otherwise(F.col("y")))
+    got = {r["reason"]: (r["n_rows"], r["n_units"]) for r in left_out(panel, "y", "unit", "t", "g", ["x1"]).collect()}
+    assert got == {"treated in the first month": (8, 1), "missing value": (3, 1)}
+    none = left_out(panel.limit(0), "y", "unit", "t", "g", design=Design.of(range(1, 9), [5, 7])).collect()
+    assert [(r["n_rows"], r["n_units"]) for r in none] == [(0, 0), (0, 0)]
+
+
 def test_a_repeated_month_does_not_make_up_for_a_missing_one(spark):
     pdf, _ = make_panel(spark)
     broken = pd.concat([pdf.drop(index=3), pdf.iloc[[9]]])
