@@ -39,7 +39,7 @@ PRETEST = (
     "n_units BIGINT, n_dropped BIGINT, n_cells INT, n_points BIGINT, note STRING"
 )
 # Units in a block, and cells that one row of a task handles.
-BLOCK_UNITS = 128
+BLOCK_UNITS = 512
 CELLS_AT_ONCE = 64
 
 
@@ -86,7 +86,8 @@ def _pairs(blocks: DataFrame, k: int, n_cells: int) -> DataFrame:
     rows = unit_rows.unionByName(point_rows.drop("p").withColumn("kind", F.lit(1)), allowMissingColumns=True)
     rows = rows.select("*", chunks)
     n = boxes.count()
-    parts = min(n * (n + 1) // 2 * -(-n_cells // CELLS_AT_ONCE), 20_000)
+    # A task goes through several pairs, so that the terms' settings are sent to few tasks.
+    parts = min(n * (n + 1) // 2 * -(-n_cells // CELLS_AT_ONCE), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(max(1, parts), "a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "kind")
 
 
