@@ -388,3 +388,76 @@ def pair_sums(spec: dict):
         yield sums_batch({"sum": total[None, :]})
 
     return run
+
+
+def _parts(batches, rows: int):
+    """The batches cut to so many rows, so that what is drawn for them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _added_by(keys: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+    """Rows of terms added by their key, 0 to n - 1."""
+    out = np.zeros((n, terms.shape[1]))
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        out[keys[order][first]] = np.add.reduceat(terms[order], first, axis=0)
+    return out
+
+
+def strip_sums(spec: dict):
+    """mapInArrow function: terms added by strip; row ``strip * cells + cell`` holds the test and its draws."""
+
+    def run(batches):
+        n = len(spec["cells"])
+        found: dict[int, np.ndarray] = {}
+        for batch in _parts(batches, spec["rows"]):
+            place = batch.column("place").to_numpy(zero_copy_only=False)
+            seen, place = np.unique(place, return_inverse=True)
+            for c, (rows, terms) in enumerate(moment_columns(spec, 0, n, *unpack(batch, spec["k"], spec["months"]))):
+                for strip, total in zip(seen, _added_by(place[rows], terms, len(seen)), strict=True):
+                    found.setdefault(int(strip), np.zeros((n, 1 + spec["draws"])))[c] += total
+        keys = [strip * n + c for strip in found for c in range(n)]
+        values = [row for matrix in found.values() for row in matrix]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["strip"] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(values, pa.list_(pa.float64()))],
+            names=["kind", "i", "values"],
+        )
+
+    return run
+
+
+def strip_squares(spec: dict):
+    """mapInArrow function: squared moments added over the points of strips, rows sorted by strip and point.
+
+    A strip starts from the moments of all lower strips; a point counts once its last unit is in.
+    """
+
+    def run(batches):
+        total = np.zeros(1 + spec["draws"])
+        strip, point, weight, held = None, None, 0.0, None
+        for batch in _parts(batches, spec["rows"]):
+            columns = (*unpack(batch, spec["k"], spec["months"]), batch.column("place").to_numpy(), batch.column("weight").to_numpy())
+            for here in np.unique(columns[4]):
+                hashes, cohort, X, Y, _, weights = (c[columns[4] == here] for c in columns)
+                x = X[:, 1]
+                if held is not None and (here != strip or x[0] != point):
+                    total += weight * (held**2).sum(axis=0)
+                    weight = 0.0
+                if here != strip:
+                    held = spec["below"][here].copy()
+                run_of = np.cumsum(np.diff(x, prepend=x[0]) != 0)
+                of_point = np.bincount(run_of, weights)
+                of_point[0] += weight
+                for c, (rows, terms) in enumerate(moment_columns(spec, 0, len(spec["cells"]), hashes, cohort, X, Y)):
+                    moments = held[c] + np.cumsum(_added_by(run_of[rows], terms, len(of_point)), axis=0)
+                    total += of_point[:-1] @ moments[:-1] ** 2
+                    held[c] = moments[-1]
+                strip, point, weight = here, x[-1], of_point[-1]
+        if held is not None:
+            total += weight * (held**2).sum(axis=0)
+        yield sums_batch({"sum": total[None, :]})
+
+    return run

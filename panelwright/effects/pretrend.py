@@ -5,7 +5,11 @@ controls among units whose covariates all lie at or below ``u``. The statistic
 adds ``n * J(u)^2`` over cells, averaged over the evaluation points ``u``.
 
 Every moment, drawn ones too, is a dominance sum: terms of units added over those at
-or below the point. Its square, added over points, is a sum over pairs of units of the
+or below the point. With one covariate or none these are running sums: units lie in strips of the
+covariate, totals of strips are added up first, then each strip goes on from the total below it.
+A strip of a single point is known from its total alone, so points that many units share are no burden.
+
+With several covariates the square of a moment, added over points, is a sum over pairs of units of the
 product of their terms times the number of points at or above both. Units are sorted into
 blocks by quantiles of the covariates, and each pair of blocks is a task's row. Blocks of
 points that lie below a pair in some covariate are not sent to it; where one block lies
@@ -25,6 +29,7 @@ from panelwright.effects import kernels
 from panelwright.effects.design import Design
 from panelwright.effects.fit import fit, solve, tidy_rows
 from panelwright.effects.influence import (
+    NUMBERS,
     SUMS,
     added_up,
     cell_spec,
@@ -43,12 +48,41 @@ BLOCK_UNITS = 512
 CELLS_AT_ONCE = 64
 
 
+def _running_squares(units: DataFrame, spec: dict, n_units: int) -> np.ndarray:
+    """Squared moments added over the weighted points of one covariate or none."""
+    n_cells, width = len(spec["cells"]), 1 + spec["draws"]
+    most = NUMBERS // (2 * n_cells * width)
+    strips = max(1, min(-(-n_units // BLOCK_UNITS), most))
+    point = F.col("x1") if spec["k"] else F.lit(0.0)
+    cuts = units.approxQuantile("x1", [i / strips for i in range(1, strips)], 0.25 / strips) if spec["k"] and strips > 1 else []
+    place = F.lit(0)
+    if cuts:
+        # Points on a cut have a strip of their own.
+        places = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+        place = F.size(F.filter(places, lambda c: c < point)) + F.size(F.filter(places, lambda c: c <= point))
+    placed = units.withColumn("place", place)
+    rows = matrices(added_up(placed.mapInArrow(kernels.strip_sums(spec), schema=SUMS)).filter("kind = 'strip'").withColumn("kind", F.concat("kind", (F.col("i") / n_cells).cast("int"))))
+    boxes = {r["place"]: r for r in placed.groupBy("place").agg(
+        F.min(point).alias("low"), F.max(point).alias("high"), F.sum("weight").alias("weight")).collect()}
+    squares, held, below, wide = np.zeros(width), np.zeros((n_cells, width)), {}, []
+    for strip in sorted(boxes):
+        below[strip] = held
+        held = held + rows[f"strip{strip}"]
+        if boxes[strip]["low"] == boxes[strip]["high"]:
+            squares += boxes[strip]["weight"] * (held**2).sum(axis=0)
+        else:
+            wide.append(strip)
+    if wide:
+        spec = {**spec, "below": {s: below[s] for s in wide}}
+        rest = placed.where(F.col("place").isin(wide)).repartition(len(wide), "place").sortWithinPartitions("place", "x1")
+        squares += matrices(added_up(rest.mapInArrow(kernels.strip_squares(spec), schema=SUMS)))["sum"][0]
+    return squares
+
+
 def _blocked(units: DataFrame, k: int, n_units: int) -> DataFrame:
     """Units with their block: ranges of every covariate, crowded ones split by hash."""
     if n_units <= BLOCK_UNITS:
         return units.withColumn("block", F.lit(0).cast("long"))
-    if not k:
-        return units.withColumn("block", F.pmod("hash", F.lit(-(-n_units // BLOCK_UNITS))))
     strips = int(np.ceil((n_units / BLOCK_UNITS) ** (1 / k)))
     names = [f"x{i}" for i in range(1, k + 1)]
     shares = [i / strips for i in range(1, strips)]
@@ -91,6 +125,21 @@ def _pairs(blocks: DataFrame, k: int, n_cells: int) -> DataFrame:
     return rows.repartition(max(1, parts), "a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "kind")
 
 
+def _paired_squares(units: DataFrame, spec: dict, n_units: int) -> np.ndarray:
+    """Squared moments added over the weighted points of several covariates."""
+    k = spec["k"]
+    names = [f"x{i}" for i in range(1, k + 1)]
+    per_unit = _blocked(units, k, n_units)
+    entries = F.collect_list(F.struct("hash", "cohort", F.array(*names).cast("array<double>").alias("x"), "y", "weight")).alias("_u")
+    bounds = [f(c).alias(f"{end}{i}") for i, c in enumerate(names, 1) for end, f in (("low", F.min), ("high", F.max))]
+    blocks = per_unit.groupBy("block").agg(entries, *bounds).select(
+        "block", *[f"_u.{c}" for c in ("hash", "cohort", "weight")], F.flatten("_u.x").alias("x"), F.flatten("_u.y").alias("y"),
+        *[f"{end}{i}" for end in ("low", "high") for i in range(1, k + 1)],
+    )
+    pairs = _pairs(materialise(blocks), k, len(spec["cells"]))
+    return matrices(added_up(pairs.mapInArrow(kernels.pair_sums(spec), schema=SUMS)))["sum"][0]
+
+
 def pretest(
     panel: DataFrame,
     y: str,
@@ -145,15 +194,9 @@ def pretest(
     for cell, odds_x in zip(spec["cells"], totals["odds"], strict=True):
         cell["odds_x"] = odds_x
 
-    per_unit = _blocked(units.withColumn("weight", chosen.cast("double")), k, n_units)
-    entries = F.collect_list(F.struct("hash", "cohort", F.array(*names).cast("array<double>").alias("x"), "y", "weight")).alias("_u")
-    bounds = [f(c).alias(f"{end}{i}") for i, c in enumerate(names, 1) for end, f in (("low", F.min), ("high", F.max))]
-    blocks = per_unit.groupBy("block").agg(entries, *bounds).select(
-        "block", *[f"_u.{c}" for c in ("hash", "cohort", "weight")], F.flatten("_u.x").alias("x"), F.flatten("_u.y").alias("y"),
-        *[f"{end}{i}" for end in ("low", "high") for i in range(1, k + 1)],
-    )
-    pairs = _pairs(materialise(blocks), k, len(usable))
-    squares = matrices(added_up(pairs.mapInArrow(kernels.pair_sums(spec), schema=SUMS)))["sum"][0]
+    weighted = units.withColumn("weight", chosen.cast("double"))
+    spec["rows"] = BLOCK_UNITS
+    squares = _running_squares(weighted, spec, n_units) if k < 2 else _paired_squares(weighted, spec, n_units)
     squares *= n_units / evaluated["weight"]
     statistic, drawn = float(squares[0]), squares[1:]
     critical = float(np.quantile(drawn, 1 - alpha, method="inverted_cdf")) if draws else None

@@ -271,11 +271,11 @@ def test_chunks_and_groups_change_nothing(spark, monkeypatch, covariates):
     assert again["rank"] == wald["rank"] == wald["df"] and again["statistic"] == pytest.approx(wald["statistic"], rel=1e-7)
 
 
-def brute_cvm(pdf):
+def brute_cvm(pdf, names=("x1", "x2")):
     wide = pdf.pivot(index="unit", columns="t", values="y")
     facts = pdf.groupby("unit")[["g", "x1", "x2"]].first()
     gg = facts["g"].replace(0, NEVER).to_numpy()
-    x = facts[["x1", "x2"]].to_numpy()
+    x = facts[list(names)].to_numpy()
     total = 0.0
     for g in (5, 7):
         for t in range(2, g):
@@ -305,12 +305,12 @@ def test_pretest_statistic_matches_brute_force(spark):
     assert plain["n_points"] == 1
 
 
-def brute_draws(pdf, hashes, draws):
+def brute_draws(pdf, hashes, draws, names=("x1", "x2")):
     """The drawn statistics by definition: influence values of every moment at every point."""
     wide = pdf.pivot(index="unit", columns="t", values="y")
     facts = pdf.groupby("unit")[["g", "x1", "x2"]].first()
     gg = facts["g"].replace(0, NEVER).to_numpy()
-    x = facts[["x1", "x2"]].to_numpy()
+    x = facts[list(names)].to_numpy()
     V = kernels.multipliers(np.array([hashes[u] for u in facts.index], dtype=np.int64), draws)
     total = np.zeros(draws)
     for g in (5, 7):
@@ -348,6 +348,11 @@ def test_pretest_over_many_blocks(spark, monkeypatch):
     drawn = brute_draws(pdf, hashes, 60)
     assert row["critical_value"] == pytest.approx(np.quantile(drawn, 0.95, method="inverted_cdf"), rel=1e-7)
     assert row["p_value"] == pytest.approx((drawn > row["statistic"]).mean())
+    for covariates in (["x1"], ["x2"]):
+        row = pretest(panel, "y", "unit", "t", "g", covariates, draws=60).first()
+        drawn = brute_draws(pdf, hashes, 60, covariates)
+        assert row["statistic"] == pytest.approx(brute_cvm(pdf, covariates), rel=1e-8)
+        assert row["critical_value"] == pytest.approx(np.quantile(drawn, 0.95, method="inverted_cdf"), rel=1e-7)
     for covariates in (["x1"], []):
         many = pretest(panel, "y", "unit", "t", "g", covariates, draws=20).first()
         monkeypatch.setattr(pretrend, "BLOCK_UNITS", 1000)
@@ -407,6 +412,11 @@ def test_a_repeated_month_does_not_make_up_for_a_missing_one(spark):
     assert got and all(math.isclose(got[k]["att"], cross[k]["att"]) for k in got)
     with pytest.raises(ValueError, match="1 rows repeat"):
         att_gt(df, *keys, panel_mode="panel")
+    for covariates in (["x1"], ["x2"]):
+        row = pretest(panel, "y", "unit", "t", "g", covariates, draws=60).first()
+        drawn = brute_draws(pdf, hashes, 60, covariates)
+        assert row["statistic"] == pytest.approx(brute_cvm(pdf, covariates), rel=1e-8)
+        assert row["critical_value"] == pytest.approx(np.quantile(drawn, 0.95, method="inverted_cdf"), rel=1e-7)
     for covariates in (["x1"], []):
         with pytest.raises(ValueError, match="1 rows repeat"):
             estimate(df, *keys[:4], covariates, draws=10)
