@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from pyspark.sql import functions as F
@@ -49,3 +50,56 @@ def test_query_against_the_article_elements(spark):
         blocks = re.split(r"</?(?:p|h1|div|ul|li|article)[^>]*>", re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", article))
         blocks = [" ".join(unescape(b).split()) for b in blocks]
         assert r["text"] == "\n\n".join(b for b in blocks if b), r["page_id"]
+
+
+def _text(source, path="own"):
+    if path == "own":
+        found = html_text.page_containers(source)
+        path = found[0][0] if found else None
+    return html_text.page_text(source, path)
+
+
+def test_titles_and_leads_around_sections():
+    words = "many words of the story stand here " * 6
+    page = f"<html><body><article><h1>T</h1><p>lead text</p><section><p>{words}</section><section><p>{words}</section></article></body>"
+    assert _text(page) == "\n\n".join(["T", "lead text", words.strip(), words.strip()])
+    table = f"<body><article><h1>T</h1><table><tr><td>{words}<td>b<tr><td><table><tr><td>in</table><td>c</table><p>end</article>"
+    assert _text(table).split("\n\n") == ["T", words.strip(), "b", "in", "c", "end"]
+    soup = f"<body><div id=x><div class=hd><h1>T</h1></div><div class=tx><p>{words}</div></div><div class=z>noise</div>"
+    assert _text(soup) == "T\n\n" + words.strip()
+    lists = f"<body><div class=story><h1>T</h1><ul><li>{words}<li>{words}</ul></div><div class=rail>noise</div>"
+    assert _text(lists) == "\n\n".join(["T", words.strip(), words.strip()])
+
+
+def test_names():
+    words = "many words of the story stand here " * 6
+    for name in ("elementor-widget-container", "social-history", "has-sidebar", "no-comments", "entry-header", "advertising-law"):
+        assert _text(f"<body><div class=w><div class='{name}'><h1>T</h1><p>{words}</div><div class=ad>buy</div></div>") == "T\n\n" + words.strip()
+    for name in ("cookie-notice", "comments-area", "site-footer", "mainNavigation", "ads", "ad-300", "widget_area", "comment-body", "skip-link"):
+        assert _text(f"<body><div class=w><h1>T</h1><p>{words}<div class='{name}'><p>{words} out</div></div>") == "T\n\n" + words.strip()
+    # A form or a composed name around the whole page is its frame; comments never are.
+    assert _text(f"<body><form id=f><article><h1>T</h1><p>{words}</article></form>") == "T\n\n" + words.strip()
+    assert _text(f"<body><div class=page-widget><article><h1>T</h1><p>{words}</article></div>") == "T\n\n" + words.strip()
+    assert _text(f"<body><article>short</article><div class=comments-area><article class=x><h1>A</h1>{words * 9}</article></div>") == "short"
+
+
+def test_page_of_another_layout_goes_by_its_own_container():
+    words = "many words of the story stand here " * 6
+    page = f"<body><article>Teaser!</article><div class=story><p>{words}</div>"
+    assert _text(page, "/body/article") == words.strip()
+    assert _text(page, "/body/div.story") == words.strip()
+    assert _text(f"<body><article>{words}</article><div class=story><p>{words}</div>", "/body/article") == words.strip()
+
+
+def test_long_and_deep_pages_take_linear_time():
+    pages = [
+        "<a " * 350_000, "<a x='" * 180_000, '<a "\'>' * 180_000, "<div>" * 200_000 + "x", "<div><b>" * 100_000 + "</i>" * 100_000,
+        "<p " + "a" * 1_000_000 + ">t", "<p " + "a=\"b " * 150_000 + ">t", "<!--" * 250_000, "<b>" * 200_000 + "</div>" * 100_000, "<p>" * 300_000,
+        "<table><tr><td>" * 60_000, "word " * 200_000, "<script>" * 100_000, "</div" * 200_000, "&" * 1_000_000, "<" * 1_000_000,
+    ]
+    for page in pages:
+        begun = time.perf_counter()
+        html_text.page_text(page, "/div/div")
+        assert time.perf_counter() - begun < 8, page[:20]
+    deep = "<div>" * 8_000 + "story " * 50 + "</div>" * 8_000
+    assert html_text.page_text(deep, html_text.page_containers(deep)[0][0]) == ("story " * 50).strip()
