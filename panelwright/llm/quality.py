@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ TEXT_FEATURES = 1 << 16
 WORDS = TEXT_FEATURES - 16 * FIGURES
 META_FEATURES = 1 << 12
 
-#: Labelled documents that are fitted on at most, and pseudo-labelled ones for each view.
+#: Labelled documents that are fitted on at most.
 MAX_LABELLED = 8_000
-MAX_PSEUDO = 3_000
 ROUNDS = 2
-#: Calibrated probability from which a view is confident.
-CONFIDENT = 0.97
+#: Share of the unlabelled documents that a view is most confident of, for each class.
+CONFIDENT = 0.05
+#: Steps of a fit with pseudo-labels, each a pass of Spark over them, and numbers in one of its rows.
+STEPS = 10
+SLOTS = 4096
 #: Weight of the squared weights against the mean loss, times the number of documents.
 L2 = 1.0
 ROWS_AT_ONCE = 500
@@ -119,19 +122,72 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(features: np.ndarray, first: np.ndarray, good: np.ndarray, n_features: int, steps: int = 60) -> np.ndarray:
-    """Weights (the last is the offset) of a logistic model of binary features, by L-BFGS."""
+def _loss(w, features, first, rows, target) -> tuple[float, np.ndarray]:
+    """Sum of the logistic losses of some documents, targets between 0 and 1, and its slope."""
+    m = _margins(w, features, first)
+    error = _sigmoid(m) - target
+    slope = np.append(np.bincount(features, error[rows], minlength=len(w) - 1), error.sum())
+    return float((np.logaddexp(0, m) - target * m).sum()), slope
+
+
+def pseudo_loss(learned: DataFrame, view: str):
+    """A function of weights: sum of the losses of all rows (``view``, said) and its slope, added up by Spark."""
+    spark = learned.sparkSession
+
+    def at(w):
+        shared = spark.sparkContext.broadcast(w)
+
+        def part(batches):
+            weights, value, slope = shared.value, 0.0, np.zeros(len(shared.value))
+            for batch in batches:
+                for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    some = batch.slice(i, ROWS_AT_ONCE)
+                    features, first = _rows(some.column(0))
+                    rows = np.repeat(np.arange(some.num_rows), np.diff(first))
+                    more, change = _loss(weights, features, first, rows, some.column(1).to_numpy(zero_copy_only=False))
+                    value, slope = value + more, slope + change
+            whole = np.append(slope, value)
+            pieces = [whole[i : i + SLOTS] for i in range(0, len(whole), SLOTS)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.list_(pa.float64()))], names=["i", "numbers"]
+            )
+
+        def added(table: pa.Table) -> pa.Table:
+            numbers = table.column("numbers").combine_chunks()
+            total = numbers.flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), -1).sum(axis=0)
+            return pa.table({"i": table.column("i").slice(0, 1), "numbers": pa.array([total], pa.list_(pa.float64()))})
+
+        kind = "i int, numbers array<double>"
+        sums = learned.select(view, "said").mapInArrow(part, kind).groupBy("i").applyInArrow(added, kind).toArrow().sort_by("i")
+        shared.destroy()
+        whole = sums.column("numbers").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return whole[-1], whole[:-1]
+
+    return at
+
+
+def fit(
+    features: np.ndarray, first: np.ndarray, good: np.ndarray, n_features: int, steps: int = 60, start: np.ndarray | None = None, more=None
+) -> np.ndarray:
+    """Weights (the last is the offset) of a logistic model of binary features, by L-BFGS.
+
+    ``more`` is (number of pseudo-labelled documents, function of weights with the sum of their losses
+    and its slope, weight of all of them against that of all labels).
+    """
     rows = np.repeat(np.arange(len(good), dtype=np.int32), np.diff(first))
     shrink = L2 / len(good)
 
     def loss(w):
-        m = _margins(w, features, first)
-        error = (_sigmoid(m) - good) / len(good)
-        slope = np.append(np.bincount(features, error[rows], minlength=n_features), error.sum())
+        value, slope = _loss(w, features, first, rows, good)
+        value, slope = value / len(good), slope / len(good)
+        if more:
+            taught, change = more[1](w)
+            value = (value + more[2] * taught / more[0]) / (1 + more[2])
+            slope = (slope + more[2] * change / more[0]) / (1 + more[2])
         slope[:-1] += shrink * w[:-1]
-        return np.logaddexp(0, np.where(good > 0, -m, m)).mean() + shrink / 2 * (w[:-1] ** 2).sum(), slope
+        return value + shrink / 2 * (w[:-1] ** 2).sum(), slope
 
-    w = np.zeros(n_features + 1)
+    w = np.zeros(n_features + 1) if start is None else start
     value, slope = loss(w)
     history: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -177,6 +233,13 @@ def _scaled(margins: np.ndarray, good: np.ndarray) -> np.ndarray:
     return w
 
 
+def _knowledge(margins: np.ndarray, scale: np.ndarray, good: np.ndarray) -> float:
+    """Share of the uncertainty about held-out labels that a calibrated view takes away, 0 to 1."""
+    m, rate = scale[0] + scale[1] * margins, good.mean()
+    left = (np.logaddexp(0, m) - good * m).mean()
+    return float(np.clip(1 - left / -(rate * np.log(rate) + (1 - rate) * np.log(1 - rate)), 0, 1))
+
+
 @dataclass
 class Model:
     """Weights of both views, their calibration, that of both together, and the least good score."""
@@ -232,13 +295,17 @@ def train(
     meta: list[Column] | None = None,
     rounds: int = ROUNDS,
     max_labelled: int = MAX_LABELLED,
-    max_pseudo: int = MAX_PSEUDO,
+    confident: float = CONFIDENT,
 ) -> Model | None:
     """Co-train both views; None if there are not at least ten labelled documents of each class.
 
     A bounded sample of labelled documents (``max_labelled``, by their hashes) is split: 70% to fit, 30% to calibrate. In each round both views score every unlabelled document,
-    and each view then learns, besides the labels, a bounded sample (``max_pseudo``) of those of
-    which the other view is confident.
+    and each view then learns, besides the labels, all those of which the other view is most
+    confident: the share ``confident`` with its highest scores and that with its lowest ones, ties
+    included. The other view's calibrated probability is what they are taught, and all of them weigh as
+    much against the labels as the share of the held-out uncertainty that the other view takes away, so
+    that a view that knows little teaches little. Repeated rows count each; columns of ``labels`` and ``docs``
+    may have any names.
     """
     meta = meta or default_meta(docs)
     view = docs.select(
@@ -260,34 +327,35 @@ def train(
     data = {c: _rows(known.column(c)) for c in ("words", "meta")}
     size = {"words": TEXT_FEATURES, "meta": META_FEATURES}
     spark = docs.sparkSession
-    extra: dict[str, pa.Table | None] = {"words": None, "meta": None}
-    report = []
+    taught: dict[str, tuple | None] = {"words": None, "meta": None}
+    report, weights = [], {}
     for number in range(rounds + 1):
-        weights, scales, margins = {}, {}, {}
+        scales, margins = {}, {}
         for c in data:
             features, first = data[c]
-            sizes = np.diff(first)[~held]
             keep = np.repeat(~held, np.diff(first))
-            part, starts, target = features[keep], np.concatenate([[0], np.cumsum(sizes)]), good[~held]
-            if extra[c] is not None and extra[c].num_rows:
-                more, at = _rows(extra[c].column(c))
-                part, starts = np.concatenate([part, more]), np.concatenate([starts, starts[-1] + at[1:]])
-                target = np.concatenate([target, extra[c].column("said").to_numpy().astype(float)])
-            weights[c] = fit(part, starts, target, size[c])
+            starts = np.concatenate([[0], np.cumsum(np.diff(first)[~held])])
+            if not number or taught[c]:
+                steps = STEPS if number else 60
+                weights[c] = fit(features[keep], starts, good[~held], size[c], steps, weights.get(c), taught[c])
             margins[c] = _margins(weights[c], features, first)
             scales[c] = _scaled(margins[c][held, None], good[held])
-        report.append({"round": number} | {f"pseudo_{c}": 0 if extra[c] is None else extra[c].num_rows for c in extra})
+        report.append({"round": number} | {
+            f"{name}_{c}": taught[c][i] if taught[c] else 0 for c in taught for name, i in (("pseudo", 0), ("weight", 2))
+        })
         if number == rounds:
             break
         shared = spark.sparkContext.broadcast((weights, scales))
-        scored = view.filter("good is null").select("*", *[
+        scored = materialise(view.filter("good is null").select("place", *data, *[
             F.arrow_udf(_score_one(shared, c), "double")(F.col(c)).alias(f"p_{c}") for c in data
-        ])
-        sure = {c: (F.col(f"p_{c}") >= CONFIDENT) | (F.col(f"p_{c}") <= 1 - CONFIDENT) for c in data}
-        counts = scored.agg(*[F.count(F.when(sure[c], 1)).alias(c) for c in data]).first()
-        for c, other in (("words", "meta"), ("meta", "words")):
-            said = (F.col(f"p_{other}") >= CONFIDENT).cast("int").alias("said")
-            extra[c] = _sample(scored.filter(sure[other]).select(c, said, "place"), counts[other], max_pseudo)
+        ]))
+        ends = scored.approxQuantile([f"p_{c}" for c in data], [confident, 1 - confident], 0.001)
+        for (c, other), bounds in zip((("meta", "words"), ("words", "meta")), ends, strict=True):
+            if bounds:
+                sure = scored.filter((F.col(f"p_{other}") <= bounds[0]) | (F.col(f"p_{other}") >= bounds[1]))
+                learned = materialise(sure.select(c, F.col(f"p_{other}").alias("said")))
+                knows = _knowledge(margins[other][held], scales[other], good[held])
+                taught[c] = (learned.count(), pseudo_loss(learned, c), knows)
     both = np.column_stack([margins["words"], margins["meta"]])
     both_scale = _scaled(both[held], good[held])
     scores = _sigmoid(both_scale[0] + both[held] @ both_scale[1:])
@@ -305,11 +373,12 @@ def _score_one(shared, view: str):
 
 
 def default_meta(docs: DataFrame) -> list[Column]:
-    """lang, source and the power of two of n_chars, as far as the table has them."""
-    found = [F.col(c) for c in ("lang", "source") if c in docs.columns]
+    """lang, source, quarters of the power of two of n_chars and every two of these, as far as the table has them."""
+    found = [F.col(c).cast("string") for c in ("lang", "source") if c in docs.columns]
     if "n_chars" in docs.columns:
-        found.append(F.floor(F.log2(F.greatest(F.col("n_chars").cast("double"), F.lit(0.0)) + 1)))
-    return found or [F.lit("")]
+        found.append(F.floor(4 * F.log2(F.greatest(F.col("n_chars").cast("double"), F.lit(0.0)) + 1)).cast("string"))
+    known = [F.coalesce(c, F.lit("-")) for c in found]
+    return found + [F.concat_ws("\t", *two) for two in combinations(known, 2)] or [F.lit("")]
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", meta: list[Column] | None = None) -> DataFrame:
