@@ -346,16 +346,19 @@ def train(
         if number == rounds:
             break
         shared = spark.sparkContext.broadcast((weights, scales))
-        scored = materialise(view.filter("good is null").select("place", *data, *[
+        scored = view.filter("good is null").select(*data, *[
             F.arrow_udf(_score_one(shared, c), "double")(F.col(c)).alias(f"p_{c}") for c in data
-        ]))
-        ends = scored.approxQuantile([f"p_{c}" for c in data], [confident, 1 - confident], 0.001)
-        for (c, other), bounds in zip((("meta", "words"), ("words", "meta")), ends, strict=True):
-            if bounds:
-                sure = scored.filter((F.col(f"p_{other}") <= bounds[0]) | (F.col(f"p_{other}") >= bounds[1]))
-                learned = materialise(sure.select(c, F.col(f"p_{other}").alias("said")))
-                knows = _knowledge(margins[other][held], scales[other], good[held])
-                taught[c] = (learned.count(), pseudo_loss(learned, c), knows)
+        ])
+        ends = dict(zip(data, scored.approxQuantile([f"p_{c}" for c in data], [confident, 1 - confident], 0.001), strict=True))
+        if not all(ends.values()):
+            continue  # nothing is unlabelled
+        sure = {c: (F.col(f"p_{c}") <= ends[c][0]) | (F.col(f"p_{c}") >= ends[c][1]) for c in data}
+        # Scoring twice is cheap; only what one of the views is sure of is written.
+        chosen = materialise(scored.filter(sure["words"] | sure["meta"]))
+        for c, other in (("meta", "words"), ("words", "meta")):
+            learned = chosen.filter(sure[other]).select(c, F.col(f"p_{other}").alias("said"))
+            knows = _knowledge(margins[other][held], scales[other], good[held])
+            taught[c] = (learned.count(), pseudo_loss(learned, c), knows)
     both = np.column_stack([margins["words"], margins["meta"]])
     both_scale = _scaled(both[held], good[held])
     scores = _sigmoid(both_scale[0] + both[held] @ both_scale[1:])
