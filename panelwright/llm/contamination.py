@@ -83,51 +83,39 @@ def _occurrences(shared: tuple[dict, dict], words: Words):
                     yield row, i, n, items[window]
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[int]:
-    """Disjoint ascending runs, flattened to start, stop, start, stop, ..."""
-    out: list[int] = []
-    for start, stop in sorted(runs):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], stop)
+def _merged(runs: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Disjoint ascending runs (start, stop, and the same in bytes if given)."""
+    out: list[list[int]] = []
+    for start, stop, *cut in sorted(runs):
+        if out and start <= out[-1][1]:
+            if stop > out[-1][1]:
+                out[-1][1::2] = [stop, *cut[1:]]
         else:
-            out += [start, stop]
+            out.append([start, stop, *cut])
     return out
 
 
 _HITS = "struct<n_words:bigint, runs:array<bigint>, cuts:array<bigint>, items:array<bigint>>"
 
 
-def _scan(spark, block, previous: Column | None):
-    """Column function: texts to hit word runs, their byte ranges and items, joined to what the
-    blocks before have found."""
-    shared = spark.sparkContext.broadcast(_tables(block.collect()))
+def _scan(shared) -> Column:
+    """Column function: texts to hit word runs, their byte ranges and items, by the windows of one block."""
 
-    def scan(texts: pa.Array, before: pa.Array | None = None) -> pa.Array:
+    def scan(texts: pa.Array) -> pa.Array:
         sizes, runs, cuts, items = [], [], [], []
         for start, stop, words in slices(texts):
-            n = stop - start
             found: dict[int, tuple[list, set]] = {}
             for row, i, size, ids in _occurrences(shared.value, words):
                 where, which = found.setdefault(row, ([], set()))
                 where.append((i, i + size))
                 which.update(ids)
             sizes.append(np.diff(words.first))
-            for row in range(n):
+            for row in range(stop - start):
                 where, which = found.get(row, ([], set()))
-                first = int(words.first[row])
-                where = [(i - first, j - first) for i, j in where]
-                if before is not None:
-                    old = before[start + row].as_py()
-                    where += list(zip(old["runs"][::2], old["runs"][1::2], strict=True))
-                    which = which | set(old["items"])
                 flat = _merged(where)
-                base = int(words.offsets[row])
-                runs.append(flat)
-                cuts.append([
-                    int(x) - base
-                    for i, j in zip(flat[::2], flat[1::2], strict=True)
-                    for x in (words.starts[first + i], words.stops[first + j - 1])
-                ])
+                first, base = int(words.first[row]), int(words.offsets[row])
+                runs.append([x - first for run in flat for x in run])
+                cuts.append([int(x) - base for i, j in flat for x in (words.starts[i], words.stops[j - 1])])
                 items.append(sorted(which))
         return pa.StructArray.from_arrays(
             [
@@ -139,16 +127,51 @@ def _scan(spark, block, previous: Column | None):
             ["n_words", "runs", "cuts", "items"],
         )
 
-    if previous is None:
-        def first_block(texts: pa.Array) -> pa.Array:
-            return scan(texts)
+    return F.arrow_udf(scan, _HITS)
 
-        return F.arrow_udf(first_block, _HITS)
 
-    def next_block(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return scan(texts, before)
+def _sizes(texts: pa.Array) -> pa.Array:
+    found = [np.diff(words.first) for _, _, words in slices(texts)]
+    return pa.array(np.concatenate(found) if found else [], pa.int64())
 
-    return F.arrow_udf(next_block, _HITS)
+
+def _joined(runs: pa.Array, cuts: pa.Array) -> pa.Array:
+    """The runs and cuts of several blocks, merged."""
+    out = []
+    for where, at in zip(runs.to_pylist(), cuts.to_pylist(), strict=True):
+        both = _merged(list(zip(where[::2], where[1::2], at[::2], at[1::2], strict=True)))
+        out.append({"runs": [x for r in both for x in r[:2]], "cuts": [x for r in both for x in r[2:]]})
+    return pa.array(out, pa.struct([("runs", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int64()))]))
+
+
+def _hits_of_blocks(docs: DataFrame, windows: DataFrame, blocks: int, text: str) -> DataFrame:
+    """``docs`` with hits by the windows of several blocks: one job and one broadcast at a time.
+
+    A job writes the rows with hits alone; these are joined to the documents, which are written once.
+    """
+    number = F.pmod(F.xxhash64("window", "item"), F.lit(blocks))
+    numbered = materialise(docs.select("*", F.monotonically_increasing_id().alias("_pw_row")))
+    found = None
+    for block in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(_tables(windows.filter(number == block).collect()))
+        hits = numbered.select("_pw_row", _scan(shared)(F.col(text)).alias("h")).filter(F.size("h.runs") > 0)
+        hits = materialise(hits.select("_pw_row", "h.*"))
+        shared.destroy()
+        found = hits if found is None else found.union(hits)
+    # A row has at most one entry per block.
+    lists = [F.flatten(F.collect_list(F.struct(c))[c]).alias(c) for c in ("runs", "cuts", "items")]
+    whole = found.groupBy(F.col("_pw_row").alias("_pw_of")).agg(*lists)
+    kind = "struct<runs:array<bigint>, cuts:array<bigint>>"
+    whole = whole.select("_pw_of", F.arrow_udf(_joined, kind)(F.col("runs"), F.col("cuts")).alias("_pw_found"), F.array_sort(F.array_distinct("items")).alias("_pw_items"))
+    none = F.array().cast("array<bigint>")
+    hits = F.struct(
+        F.arrow_udf(_sizes, "bigint")(F.col(text)).alias("n_words"),
+        F.coalesce("_pw_found.runs", none).alias("runs"),
+        F.coalesce("_pw_found.cuts", none).alias("cuts"),
+        F.coalesce("_pw_items", none).alias("items"),
+    )
+    joined = numbered.join(whole, F.col("_pw_row") == F.col("_pw_of"), "left")
+    return joined.withColumn("_pw_hits", hits).select(*docs.columns, "_pw_hits")
 
 
 def benchmark_hits(
@@ -163,25 +186,21 @@ def benchmark_hits(
     """``docs`` with one more column ``_pw_hits``: n_words, runs (hit words, as start and stop word
     numbers), cuts (the same as byte offsets of the UTF-8 text) and items (sorted ids).
 
-    Every input row stays, repeated ones too, and no row is shuffled. Null and empty texts have
+    Every input row stays, repeated ones too. Null and empty texts have
     no words and no hits. Items without words have no window; items with a null id cause hits
-    but are not listed. The windows are broadcast in blocks of at most ``block_rows`` rows; each
-    further block is one more pass over the texts within the same job. An empty benchmark
-    has one empty block.
+    but are not listed. The windows are broadcast in blocks of about ``block_rows`` rows at most, one
+    after the other: each further block is one more job over the texts. With one block no row
+    is shuffled; an empty benchmark has one empty block. A column ``_pw_hits`` is replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_pw_hits")
     windows = materialise(benchmark_windows(benchmark, item_text, item_id, width))
     blocks = max(1, -(-windows.count() // block_rows))
-    # Twice as many blocks as needed on average, so that uneven hashing stays within the bound.
-    blocks = blocks if blocks == 1 else 2 * blocks
-    number = F.pmod(F.xxhash64("window", "item"), F.lit(blocks))
-    hits = None
-    for block in range(blocks):
-        part = windows if blocks == 1 else windows.filter(number == block)
-        scan = _scan(spark, part, hits)
-        docs = docs.withColumn("_pw_hits", scan(F.col(text)) if hits is None else scan(F.col(text), F.col("_pw_hits")))
-        hits = F.col("_pw_hits")
-    return docs
+    if blocks > 1:
+        # Twice as many blocks as needed on average, so that uneven hashing stays within the bound.
+        return _hits_of_blocks(docs, windows, 2 * blocks, text)
+    shared = spark.sparkContext.broadcast(_tables(windows.collect()))
+    return docs.withColumn("_pw_hits", _scan(shared)(F.col(text)))
 
 
 def _n_hit(hits: Column) -> Column:
@@ -229,7 +248,9 @@ def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "document", **options) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="span"``) with their hit passages cut
-    out of the text. All columns and all clean rows stay as they are."""
+    out of the text. All columns and all clean rows stay as they are, repeated rows and null texts
+    too; a document that is one passage keeps an empty text. Other columns may have any names but
+    those that begin with ``_pw_``."""
     columns = docs.columns
     found = benchmark_hits(docs, benchmark, text, **options)
     flag = is_contaminated(F.col("_pw_hits"))
