@@ -321,7 +321,7 @@ def tract_cohorts(spark, sf):
 
 
 @query(
-    "JOB14 S3 X9",
+    "JOB14 X9",
     """SELECT DISTINCT lpad(CAST(36000000000 + l_partkey AS VARCHAR), 11, '0') AS geoid_tract_20,
               lpad(CAST(36000000000 + l_suppkey AS VARCHAR), 11, '0') AS geoid_tract_10,
               right(lpad(CAST(36000000000 + l_suppkey AS VARCHAR), 11, '0'), 6) AS census_tract_10,
@@ -355,7 +355,7 @@ def first_row_per_key(spark, sf):
 
 
 @query(
-    "W4 W9 O3",
+    "W4 W9",
     """SELECT o_orderkey, rn AS row_number, CAST(floor((rn - 1) / 1000) + 1 AS BIGINT) AS batch FROM (
          SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS rn FROM orders)""",
 )
@@ -404,7 +404,7 @@ def fill_updown(spark, sf):
 
 
 @query(
-    "J6 J8",
+    "J6",
     """WITH first AS (SELECT o_custkey, MIN(o_orderdate) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
        second AS (SELECT o_custkey, MIN(o_orderdate) AS d2 FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT c_custkey, COALESCE(d, d2) AS geoid FROM customer

@@ -55,15 +55,14 @@ def panel_with_missing_unit(spark, sf):
 @query(
     "R1 D3",
     """WITH e AS (SELECT l_suppkey AS zip, CAST(date_trunc('month', l_shipdate) AS DATE) AS mo, l_orderkey
-         FROM lineitem WHERE l_quantity > 49),
+         FROM lineitem),
        m AS (SELECT CAST(unnest(generate_series((SELECT MIN(mo) FROM e), (SELECT MAX(mo) FROM e), INTERVAL 1 MONTH)) AS DATE) AS mo),
        k AS (SELECT zip, mo, COUNT(DISTINCT l_orderkey) AS n FROM e GROUP BY 1, 2)
 SELECT u.zip, m.mo AS inspection_yr_mo, COALESCE(n, 0) AS n_violations
 FROM (SELECT DISTINCT zip FROM e) u CROSS JOIN m LEFT JOIN k ON k.zip = u.zip AND k.mo = m.mo""",
 )
 def panel_calendar(spark, sf):
-    lines = table(spark, sf, "lineitem").where(F.col("l_quantity") > 49)
-    events = lines.select(
+    events = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("zip"),
         F.trunc("l_shipdate", "month").alias("inspection_yr_mo"),
         F.col("l_orderkey").alias("violationid"),
