@@ -412,11 +412,6 @@ def test_a_repeated_month_does_not_make_up_for_a_missing_one(spark):
     assert got and all(math.isclose(got[k]["att"], cross[k]["att"]) for k in got)
     with pytest.raises(ValueError, match="1 rows repeat"):
         att_gt(df, *keys, panel_mode="panel")
-    for covariates in (["x1"], ["x2"]):
-        row = pretest(panel, "y", "unit", "t", "g", covariates, draws=60).first()
-        drawn = brute_draws(pdf, hashes, 60, covariates)
-        assert row["statistic"] == pytest.approx(brute_cvm(pdf, covariates), rel=1e-8)
-        assert row["critical_value"] == pytest.approx(np.quantile(drawn, 0.95, method="inverted_cdf"), rel=1e-7)
     for covariates in (["x1"], []):
         with pytest.raises(ValueError, match="1 rows repeat"):
             estimate(df, *keys[:4], covariates, draws=10)
