@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelwright.catalog.registry import table
 from panelwright.functions import constants as K
+from panelwright.operators.panel import by_unit
 from panelwright.sources.scan import literal_table
 
 YEARS = list(range(1995, 2002))
@@ -195,10 +196,12 @@ annual AS (
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, y = F.col("c_custkey"), F.col("year")
     years = F.explode(F.array(*[F.lit(v) for v in YEARS])).alias("year")
-    base = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", years)
+    # Dealt out before the years multiply the rows: the file is small enough for a single task.
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", key.cast("string").alias("zip"))
+    base = by_unit(base, "zip").select("c_custkey", "c_acctbal", "zip", years)
     return base.select(
         "year",
-        key.cast("string").alias("zip"),
+        "zip",
         F.when(key % 53 == 0, 0)
         .otherwise((10 + key % 37 + (y - 1995) * (key % 3)).cast("int"))
         .alias("renter_occ_units"),

@@ -1,5 +1,6 @@
-"""Lookups. No strategy hints: adaptive execution broadcasts a side when its
-measured size allows it and splits skewed partitions otherwise."""
+"""Lookups. No strategy hints on small or measured tables: adaptive execution broadcasts
+a side when its measured size allows it and splits skewed partitions otherwise. Tables with
+rows for every unit are marked by ``shuffled``."""
 
 from __future__ import annotations
 
@@ -23,6 +24,15 @@ def broadcast_if_small(df: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table that is never broadcast: one with rows for every unit, read from files or exploded.
+
+    Before it runs, its size is guessed from compressed files, without what an explode adds; the
+    guess can be a hundredth of what the driver and every task would hold.
+    """
+    return df.hint("merge")
+
+
 def _pairs(on) -> list[tuple[str, str]]:
     if isinstance(on, str):
         return [(on, on)]
@@ -36,6 +46,7 @@ def lookup(
     right: DataFrame,
     on,
     null_safe=False,
+    also: Iterable[str] = (),
     spread_by: Iterable[str] = (),
     salts=32,
 ) -> DataFrame:
@@ -46,13 +57,19 @@ def lookup(
     and the right side, one row per key and part, follows them; the result is
     the same. Use it where one key may hold a large part of the left side and
     the right side is too big to broadcast.
+
+    Columns of ``also`` must be equal too, but are compared when rows have met by ``on``: a left
+    side that is partitioned by ``on`` stays where it is. For whole numbers with few values to a key.
     """
     pairs = _pairs(on)
-    renamed = right.withColumnsRenamed({r: f"_key_{r}" for _, r in pairs})
+    also = list(also)
+    renamed = right.withColumnsRenamed({r: f"_key_{r}" for r in [*[r for _, r in pairs], *also]})
     conditions: list[Column] = []
     for l, r in pairs:
         a, b = F.col(l), F.col(f"_key_{r}")
         conditions.append(a.eqNullSafe(b) if null_safe else a == b)
+    # As a difference the optimizer takes it for no key to shuffle by.
+    conditions += [F.col(c) - F.col(f"_key_{c}") == 0 for c in also]
     spread = list(spread_by)
     if spread:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
@@ -60,7 +77,7 @@ def lookup(
         renamed = renamed.withColumn("_part", parts)
         conditions.append(F.col("_salt") == F.col("_part"))
     out = left.join(renamed, reduce(and_, conditions), "left")
-    return out.drop(*[f"_key_{r}" for _, r in pairs], "_salt", "_part")
+    return out.drop(*[f"_key_{r}" for r in [*[r for _, r in pairs], *also]], "_salt", "_part")
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on) -> DataFrame:

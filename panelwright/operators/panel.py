@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators.joins import shuffled
+
 
 def unit_period_counts(
     events: DataFrame, unit: str, period: str, event_id: str, name="n_events"
@@ -91,7 +93,7 @@ def panel_baseline(
     facts = panel.groupBy(unit).agg(
         *[F.max(F.when(year == at, e)).alias(name) for name, e in columns.items()]
     )
-    keyed = facts.withColumnRenamed(unit, "_unit")
+    keyed = shuffled(facts.withColumnRenamed(unit, "_unit"))
     return panel.join(keyed, F.col(unit).eqNullSafe(F.col("_unit")), "left").drop("_unit")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import constants as K
 from panelwright.functions.dates import in_months, month_idx, treated_flag
 from panelwright.functions.scalars import null_if, rate_per, safe_ratio
-from panelwright.operators.joins import lookup
+from panelwright.operators.joins import lookup, shuffled
 from panelwright.operators.panel import (
     baseline,
     calendar_months,
@@ -64,7 +64,7 @@ def baseline_rates(
     )
     facts = annual.select(unit).distinct()
     facts = facts.join(evictions, unit, "full_outer").join(stabilised, unit, "full_outer")
-    facts = facts.join(at_year, unit, "left")
+    facts = facts.join(shuffled(at_year), unit, "left")
     return facts.withColumns(
         {
             "evict_rate_17": safe_ratio(evict_col, "_units", zero_over_zero=zero_over_zero),
@@ -83,8 +83,9 @@ def attach_covariates(
     zero_over_zero=None,
 ) -> DataFrame:
     """Annual covariates by unit and year, baseline rates by unit, and the outcome rate."""
-    joined = lookup(panel.withColumn("year", F.year(period)), annual, [unit, "year"])
-    joined = lookup(joined, baselines, unit)
+    # The panel is partitioned by unit, and all joins are by unit: its rows are shuffled once.
+    joined = lookup(panel.withColumn("year", F.year(period)), shuffled(annual), unit, also=["year"])
+    joined = lookup(joined, shuffled(baselines), unit)
     rate: Column = rate_per(measure, "renter_occ_units")
     if zero_over_zero is not None:
         empty = (F.col(measure) == 0) & (F.col("renter_occ_units") == 0)
@@ -111,7 +112,7 @@ def zip_panel(
         annual, evictions, stabilised, year=baseline_year, zero_over_zero=zero_over_zero
     )
     panel = attach_covariates(panel, annual, rates, zero_over_zero=zero_over_zero)
-    panel = attach_cohorts(panel, rollout, "zip", last_cohort, last_date)
+    panel = attach_cohorts(panel, shuffled(rollout), "zip", last_cohort, last_date)
     return panel.withColumn(
         "treated", treated_flag("rtc_treat_date", "inspection_yr_mo", grain=grain)
     )
