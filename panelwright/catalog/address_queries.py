@@ -10,6 +10,7 @@ from panelwright.catalog import standins as S
 from panelwright.catalog.registry import query, table
 from panelwright.functions import constants as K
 from panelwright.functions.text import apply_rules, normal_address
+from panelwright.operators.panel import by_unit
 from panelwright.plans import addresses, census, stock
 from panelwright.sources.scan import literal_table
 
@@ -383,7 +384,8 @@ def census_covariates(spark, sf):
         *[F.struct(F.lit(k).alias("k"), F.lit(v).alias("variable")) for k, v in enumerate(VARIABLES)]
     )
     years = F.explode(F.array(*[F.lit(y) for y in S.YEARS])).alias("year")
-    rows = customer.select("c_custkey", years).select("c_custkey", "year", F.inline(variables))
+    # Dealt out before years and variables multiply the rows: the file is small enough for a single task.
+    rows = by_unit(customer.select("c_custkey"), "c_custkey").select("c_custkey", years).select("c_custkey", "year", F.inline(variables))
     missing = F.col("k").isin(5, 7) & (key % 29 == 0) & (F.col("year") == 1999)
     value = ((key * (F.col("k") + 3) + F.col("year") * 7) % 997).cast("double")
     # Ids of the first year carry the state prefix, as delivered.

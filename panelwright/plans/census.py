@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import constants as K
 from panelwright.functions.scalars import round_to_nearest, share
 from panelwright.functions.text import strip_prefix_for
-from panelwright.operators.joins import keep_listed, lookup
+from panelwright.operators.joins import lookup, shuffled
 from panelwright.operators.order import ffill
 from panelwright.operators.schema_ops import drop_suffix, rename
 from panelwright.sources.scan import pivot_estimates
@@ -50,9 +50,11 @@ def census_covariates(
     df = estimates
     if prefix_year is not None:
         df = df.withColumn("geoid", strip_prefix_for("geoid", K.STATE_CODE, F.col("year") == prefix_year))
-    if units is not None:
-        df = keep_listed(df, units, "geoid")
     wide = drop_suffix(pivot_estimates(df, list(names)), "M")
+    if units is not None:
+        # After the pivot there is one row per area and year instead of one per variable to shuffle; the
+        # optimizer would move a semi-join back below it.
+        wide = wide.join(shuffled(units.select("geoid").distinct()), "geoid").select(*wide.columns)
     wide = rename(wide, {f"{code}E": name for code, name in names.items()})
     wide = inflate(wide, inflated, index, to=price_year)
     wide = wide.withColumns({c: round_to_nearest(c, 1) for c in inflated})
