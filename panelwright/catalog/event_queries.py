@@ -133,7 +133,7 @@ def left_join_composite(spark, sf):
         F.col("o_custkey").cast("string").alias("zip"),
     )
     annual = S.annual(spark, sf).select("year", "zip", "renter_occ_units", "pct_pov")
-    return joins.lookup(orders, annual, ["year", "zip"])
+    return joins.lookup(orders, joins.shuffled(annual), ["year", "zip"])
 
 
 @query(
