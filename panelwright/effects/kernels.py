@@ -288,32 +288,53 @@ def moment_terms(spec: dict, cohort, X, Y):
     return terms
 
 
+def models_of(cells: list[dict]) -> tuple[list[int], list[int]]:
+    """The first cell of every model (same treated, controls and coefficients), and the model of each cell."""
+    found: dict[tuple, int] = {}
+    firsts, model = [], []
+    for c, cell in enumerate(cells):
+        key = (cell["group"], tuple(cell["controls"]), np.asarray(cell["gamma"]).tobytes())
+        if key not in found:
+            found[key] = len(firsts)
+            firsts.append(c)
+        model.append(found[key])
+    return firsts, model
+
+
 def moment_scalars(spec: dict):
-    """mapInArrow function: sums over units that no point changes.
+    """mapInArrow function: sums over units that neither a point nor the months of a cell change.
 
-    Row ``draw`` b: per cell the drawn treated share, odds share and scores; row ``odds`` c: the
-    odds-weighted covariates of cell c.
+    Row ``draw`` b: per model the drawn number of treated, odds and scores; row ``odds`` m: the
+    odds-weighted covariates of model m. All models are one product of matrices.
     """
 
     def run(batches):
-        p, n_cells = spec["k"] + 1, len(spec["cells"])
-        drawn = np.zeros((spec["draws"], n_cells, 2 + p))
-        odds_x = np.zeros((n_cells, p))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        p = spec["k"] + 1
+        models = {**spec, "cells": [spec["cells"][c] for c in models_of(spec["cells"])[0]]}
+        n = len(models["cells"])
+        drawn = np.zeros((spec["draws"], n * (2 + p)))
+        odds_x = np.zeros((n, p))
+        for batch in _parts(batches, spec["rows"]):
             hashes, cohort, X, Y = unpack(batch, spec["k"], spec["months"])
-            V = multipliers(hashes, spec["draws"]).T
-            for c, (rows, d, odds, p_hat, _) in enumerate(moment_terms(spec, cohort, X, Y)):
-                cell = spec["cells"][c]
-                weights = np.column_stack([d / cell["n1"], odds / cell["w0"], (d - p_hat)[:, None] * X[rows]])
-                drawn[:, c] += V[:, rows] @ weights
-                odds_x[c] += odds @ X[rows]
-        yield sums_batch({"draw": drawn.reshape(spec["draws"], n_cells * (2 + p)), "odds": odds_x})
+            weights = np.zeros((len(hashes), n, 2 + p))
+            for m, (rows, d, odds, p_hat, _) in enumerate(moment_terms(models, cohort, X, Y)):
+                weights[rows, m] = np.column_stack([d, odds, (d - p_hat)[:, None] * X[rows]])
+                odds_x[m] += odds @ X[rows]
+            drawn += multipliers(hashes, spec["draws"]).T @ weights.reshape(len(hashes), -1)
+        yield sums_batch({"draw": drawn, "odds": odds_x})
 
     return run
 
 
+def moment_sides(spec: dict, cohort, X, Y):
+    """Per cell: rows of the block in use, their terms as treated and as controls, and how the estimated
+    weights of the controls move the moment, per unit."""
+    for cell, (rows, d, odds, _, change) in zip(spec["cells"], moment_terms(spec, cohort, X, Y), strict=True):
+        one, other = d * change / cell["n1"], odds * change / cell["w0"]
+        slope = -(other[:, None] * X[rows] - np.outer(other, cell["odds_x"]) / cell["w0"]) @ cell["inverse"]
+        yield rows, one, other, slope
+
+
 def moment_columns(spec: dict, first: int, last: int, hashes, cohort, X, Y):
     """Per cell first..last: rows of the block in use and their terms, one column for the test and one per draw.
 
@@ -321,11 +342,7 @@ def moment_columns(spec: dict, first: int, last: int, hashes, cohort, X, Y):
     """
     V = multipliers(hashes, spec["draws"])
     part = {**spec, "cells": spec["cells"][first:last]}
-    for c, (rows, d, odds, _, change) in enumerate(moment_terms(part, cohort, X, Y), first):
-        cell = spec["cells"][c]
-        one, other = d * change / cell["n1"], odds * change / cell["w0"]
-        # How the estimated weights of the controls move the moment, per unit.
-        slope = -(other[:, None] * X[rows] - np.outer(other, cell["odds_x"]) / cell["w0"]) @ cell["inverse"]
+    for c, (rows, one, other, slope) in enumerate(moment_sides(part, cohort, X, Y), first):
         treated, controls, scores = spec["drawn"][:, c, 0], spec["drawn"][:, c, 1], spec["drawn"][:, c, 2:]
         drawn = V[rows] * (one - other)[:, None] - np.outer(one, treated) + np.outer(other, controls) + slope @ scores.T
         yield rows, np.column_stack([one - other, drawn])
@@ -411,14 +428,28 @@ def strip_sums(spec: dict):
     """mapInArrow function: terms added by strip; row ``strip * cells + cell`` holds the test and its draws."""
 
     def run(batches):
-        n = len(spec["cells"])
+        n, p = len(spec["cells"]), spec["k"] + 1
         found: dict[int, np.ndarray] = {}
+        shared: dict[int, np.ndarray] = {}
         for batch in _parts(batches, spec["rows"]):
             place = batch.column("place").to_numpy(zero_copy_only=False)
-            seen, place = np.unique(place, return_inverse=True)
-            for c, (rows, terms) in enumerate(moment_columns(spec, 0, n, *unpack(batch, spec["k"], spec["months"]))):
-                for strip, total in zip(seen, _added_by(place[rows], terms, len(seen)), strict=True):
-                    found.setdefault(int(strip), np.zeros((n, 1 + spec["draws"])))[c] += total
+            hashes, cohort, X, Y = unpack(batch, spec["k"], spec["months"])
+            V = multipliers(hashes, spec["draws"])
+            # Per unit and cell: the term, its two sides, and how estimated weights move it.
+            terms = np.zeros((len(hashes), n, 3 + p))
+            for c, (rows, one, other, slope) in enumerate(moment_sides(spec, cohort, X, Y)):
+                terms[rows, c] = np.column_stack([one - other, one, other, slope])
+            for strip in np.unique(place):
+                inside = np.flatnonzero(place == strip)
+                here = terms[inside]
+                total = found.setdefault(int(strip), np.zeros((n, 1 + spec["draws"])))
+                total[:, 1:] += here[:, :, 0].T @ V[inside]
+                shared[int(strip)] = shared.get(int(strip), 0.0) + here.sum(axis=0)
+        for strip, total in found.items():
+            sums = shared[strip]
+            total[:, 0] = sums[:, 0]
+            treated, controls, scores = spec["drawn"][:, :, 0].T, spec["drawn"][:, :, 1].T, spec["drawn"][:, :, 2:]
+            total[:, 1:] += sums[:, 2:3] * controls - sums[:, 1:2] * treated + np.einsum("cj,bcj->cb", sums[:, 3:], scores)
         keys = [strip * n + c for strip in found for c in range(n)]
         values = [row for matrix in found.values() for row in matrix]
         yield pa.RecordBatch.from_arrays(

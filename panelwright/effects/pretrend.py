@@ -189,13 +189,15 @@ def pretest(
     for cell, result in zip(spec["cells"], usable, strict=True):
         part = result.parts[0]
         cell.update(n1=part.n1, w0=part.w0, inverse=solve(fitted.hessians[result.problem], np.eye(k + 1)))
+    spec["rows"] = BLOCK_UNITS
     totals = matrices(added_up(units.mapInArrow(kernels.moment_scalars(spec), schema=SUMS)))
-    spec["drawn"] = totals.get("draw", np.zeros(0)).reshape(draws, len(usable), k + 3)
-    for cell, odds_x in zip(spec["cells"], totals["odds"], strict=True):
-        cell["odds_x"] = odds_x
+    _, model = kernels.models_of(spec["cells"])
+    spec["drawn"] = totals.get("draw", np.zeros(0)).reshape(draws, -1, k + 3)[:, model] if draws else np.zeros((0, len(usable), k + 3))
+    for c, cell in enumerate(spec["cells"]):
+        spec["drawn"][:, c, :2] /= cell["n1"], cell["w0"]
+        cell["odds_x"] = totals["odds"][model[c]]
 
     weighted = units.withColumn("weight", chosen.cast("double"))
-    spec["rows"] = BLOCK_UNITS
     squares = _running_squares(weighted, spec, n_units) if k < 2 else _paired_squares(weighted, spec, n_units)
     squares *= n_units / evaluated["weight"]
     statistic, drawn = float(squares[0]), squares[1:]

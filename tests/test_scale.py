@@ -1,10 +1,13 @@
 """Tables with rows for every unit are neither broadcast nor made in one task, whatever their file size says."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from panelwright import catalog
 from panelwright.catalog import standins as S
+from panelwright.effects import kernels
 from panelwright.operators import joins
 from panelwright.plans import census, panels
 from panelwright.sources.scan import literal_table
@@ -81,3 +84,46 @@ def test_census_lists_areas_after_the_pivot(spark):
     found = census.census_covariates(cells, index, listed, names, {"c": ("a", "b")}, {}, [], None, None, 2001)
     assert [(r["geoid"], r["a"], r["b"], r["c"]) for r in found.collect()] == [("1", 1.0, 4.0, 0.25)]
     assert planned(found).index("SortMergeJoin") < planned(found).index("max(")
+
+
+def pretest_batch(n=300, months=3, strips=4):
+    rng = np.random.default_rng(5)
+    cohort = rng.choice([2, 3, 9], n)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(rng.integers(-2**62, 2**62, n)), pa.array(cohort.astype(np.int32)), pa.array(rng.normal(size=n)),
+        pa.array(list(rng.normal(size=(n, months))), pa.list_(pa.float64())), pa.array(rng.integers(0, strips, n).astype(np.int32)),
+    ], names=["hash", "cohort", "x1", "y", "place"])
+    inverse = np.linalg.inv(np.array([[9.0, 1.0], [1.0, 7.0]]))
+    cell = {"group": 2, "controls": (3, 9), "gamma": np.array([0.1, -0.4]), "base": 0, "n1": 90.0, "w0": 80.0, "inverse": inverse, "odds_x": np.array([60.0, 5.0])}
+    other = {**cell, "group": 3, "controls": (9,), "gamma": np.array([-0.3, 0.2]), "time": 2}
+    spec = {"k": 1, "months": months, "draws": 40, "rows": 64, "cells": [{**cell, "time": 1}, {**cell, "time": 2}, other]}
+    spec["drawn"] = rng.normal(size=(40, 3, 4))
+    return batch, spec
+
+
+def test_scalars_come_once_for_each_model():
+    """Cells of one cohort that differ in their months only share their sums."""
+    batch, spec = pretest_batch()
+    found = {(r["kind"], r["i"]): np.array(r["values"]) for out in kernels.moment_scalars(spec)([batch]) for r in out.to_pylist()}
+    assert kernels.models_of(spec["cells"]) == ([0, 2], [0, 0, 1])
+    drawn = np.array([found["draw", b] for b in range(40)]).reshape(40, 2, 4)
+    hashes, cohort, X, Y = kernels.unpack(batch, 1, 3)
+    V = kernels.multipliers(hashes, 40)
+    for m, (rows, d, odds, chance, _) in enumerate(kernels.moment_terms({**spec, "cells": [spec["cells"][0], spec["cells"][2]]}, cohort, X, Y)):
+        want = V[rows].T @ np.column_stack([d, odds, (d - chance)[:, None] * X[rows]])
+        np.testing.assert_allclose(drawn[:, m], want, atol=1e-9)
+        np.testing.assert_allclose(found["odds", m], odds @ X[rows])
+
+
+def test_strips_add_up_the_terms_of_their_units(monkeypatch):
+    """By products of matrices, without the terms of every unit, cell and draw."""
+    batch, spec = pretest_batch()
+    place = batch.column("place").to_numpy()
+    want = np.zeros((4, 3, 41))
+    for c, (rows, terms) in enumerate(kernels.moment_columns(spec, 0, 3, *kernels.unpack(batch, 1, 3))):
+        np.add.at(want[:, c], place[rows], terms)
+    monkeypatch.setattr(kernels, "moment_columns", None)
+    found = {r["i"]: r["values"] for out in kernels.strip_sums(spec)([batch]) for r in out.to_pylist()}
+    for strip in range(4):
+        for c in range(3):
+            np.testing.assert_allclose(found[strip * 3 + c], want[strip, c], atol=1e-9)
