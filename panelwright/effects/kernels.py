@@ -348,60 +348,110 @@ def moment_columns(spec: dict, first: int, last: int, hashes, cohort, X, Y):
         yield rows, np.column_stack([one - other, drawn])
 
 
-def _block(row: dict, side: str, k: int, months: int):
-    hashes = np.array(row[f"{side}_hash"], dtype=np.int64)
+def _block(get, side: str, k: int, months: int):
+    hashes = get(f"{side}_hash")
     X = np.ones((len(hashes), k + 1))
-    X[:, 1:] = np.array(row[f"{side}_x"], dtype=float).reshape(len(hashes), k)
-    return hashes, np.array(row[f"{side}_cohort"]), X, np.array(row[f"{side}_y"], dtype=float).reshape(len(hashes), months)
+    X[:, 1:] = get(f"{side}_x").reshape(len(hashes), k)
+    return hashes, get(f"{side}_cohort"), X, get(f"{side}_y").astype(float).reshape(len(hashes), months)
 
 
-def _pair_total(spec: dict, row: dict, above: np.ndarray) -> np.ndarray:
-    """Sum of products of the terms of two blocks, weighted by the points at or above both units."""
-    one = _block(row, "a", spec["k"], spec["months"])
-    two = one if row["a"] == row["b"] else _block(row, "b", spec["k"], spec["months"])
+def _factors(spec: dict, first: int, last: int, block):
+    """What the terms of cells first..last are made of, zero for units that a cell does not use.
+
+    The term of a unit and draw is its multiplier times ``P`` plus ``L`` times numbers of the draw.
+    """
+    _, cohort, X, Y = block
+    cells = spec["cells"][first:last]
+    P, L = np.zeros((len(X), len(cells))), np.zeros((len(X), len(cells), 3 + spec["k"]))
+    for c, (rows, one, other, slope) in enumerate(moment_sides({**spec, "cells": cells}, cohort, X, Y)):
+        P[rows, c] = one - other
+        L[rows, c] = np.column_stack([one, other, slope])
+    return P, L.reshape(len(X), -1)
+
+
+def _pair_total(spec: dict, same: bool, one, two, above: np.ndarray) -> np.ndarray:
+    """Sum of products of the terms of two blocks, weighted by the points at or above both units.
+
+    As the part of a term that units share is linear in numbers of the draw, draws meet sums over
+    pairs of units that were taken once: no product over pairs is made per cell and draw.
+    """
+    V, W = multipliers(one[0], spec["draws"]), multipliers(two[0], spec["draws"])
     total = np.zeros(1 + spec["draws"])
-    last = min(row["chunk"] + spec["chunk"], len(spec["cells"]))
-    first_columns = moment_columns(spec, row["chunk"], last, *one)
-    second_columns = moment_columns(spec, row["chunk"], last, *two)
-    low = (one[2].max(axis=0) <= two[2].min(axis=0)).all()
-    for (rows, terms), (others, other_terms) in zip(first_columns, second_columns, strict=True):
-        if not len(rows) or not len(others):
+    weights = np.zeros_like(above)
+    for first in range(0, len(spec["cells"]), spec["chunk"]):
+        last = min(first + spec["chunk"], len(spec["cells"]))
+        P, L = _factors(spec, first, last, one)
+        Q, M = (P, L) if same else _factors(spec, first, last, two)
+        n, m = last - first, 3 + spec["k"]
+        weights += P @ Q.T
+        if not spec["draws"]:
             continue
-        if low:  # the first block lies below the second one: only the second unit matters
-            total += terms.sum(axis=0) * (above[0, others] @ other_terms)
-        else:
-            total += (terms * (above[np.ix_(rows, others)] @ other_terms)).sum(axis=0)
-    return total if row["a"] == row["b"] else 2 * total
+        drawn = spec["drawn"][:, first:last] * np.where(np.arange(m) == 0, -1.0, 1.0)
+        numbers = drawn.reshape(len(drawn), -1)
+        near = above @ M
+        met = V.T @ (np.repeat(P, m, axis=1) * near)
+        met += met if same else W.T @ (np.repeat(Q, m, axis=1) * (above.T @ L))
+        total[1:] += (met * numbers).sum(axis=1)
+        shared = np.einsum("icx,icy->cxy", L.reshape(-1, n, m), near.reshape(-1, n, m))
+        total[1:] += np.einsum("bcx,cxy,bcy->b", drawn, shared, drawn, optimize=True)
+    weights *= above
+    total[0] = weights.sum()
+    if spec["draws"]:
+        total[1:] += (V * (weights @ W)).sum(axis=0)
+    return total if same else 2 * total
+
+
+def _count_above(above: np.ndarray, one: np.ndarray, two: np.ndarray, points: np.ndarray, weight: np.ndarray) -> None:
+    """Add the weight of the points at or above both units, for every unit of ``one`` and of ``two``."""
+    used = (weight != 0) & (points >= np.maximum(one.min(axis=0), two.min(axis=0))).all(axis=1)
+    points, weight = points[used], weight[used]
+    if not len(points):
+        return
+    flags = []
+    for x in (one, two):
+        # Covariates in which every point lies above all units say nothing.
+        told = np.flatnonzero(points.min(axis=0) < x.max(axis=0))
+        inside = None
+        for j in told:
+            passed = x[:, j][:, None] <= points[:, j][None, :]
+            inside = passed if inside is None else inside & passed
+        flags.append(inside)
+    left, right = flags
+    if left is None and right is None:
+        above += weight.sum()
+    elif right is None:
+        above += (left @ weight)[:, None]
+    elif left is None:
+        above += right @ weight
+    else:  # whole numbers no larger than a block, which single precision holds exactly
+        above += (left * weight.astype(np.float32)) @ right.T.astype(np.float32)
 
 
 def pair_sums(spec: dict):
     """mapInArrow function: sums over pairs of blocks of units.
 
-    Rows come sorted by pair and chunk of cells: first the units of both blocks, then blocks of
-    points, which are counted for every two units. Memory is bounded by two blocks.
+    Rows come sorted by pair: first the units of both blocks, then blocks of points, which are
+    counted for every two units. Memory is bounded by two blocks and ``chunk`` cells.
     """
 
     def run(batches):
         total = np.zeros(1 + spec["draws"])
-        row = above = None
+        pair = above = None
         for batch in batches:
-            for new in batch.to_pylist():
-                if new["kind"] == 0:
-                    if row is not None:
-                        total += _pair_total(spec, row, above)
-                    row = new
-                    x = [np.array(new[f"{s}_x"], dtype=float).reshape(len(new[f"{s}_hash"]), spec["k"]) for s in "ab"]
-                    above = np.zeros((len(x[0]), len(x[1])))
+            for i in range(batch.num_rows):
+                get = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                if batch.column("kind")[i].as_py() == 0:
+                    if pair is not None:
+                        total += _pair_total(spec, *pair, above)
+                    same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                    one = _block(get, "a", spec["k"], spec["months"])
+                    two = one if same else _block(get, "b", spec["k"], spec["months"])
+                    pair, above = (same, one, two), np.zeros((len(one[0]), len(two[0])))
                     continue
-                points = np.array(new["p_x"], dtype=float).reshape(len(new["p_weight"]), spec["k"])
-                weight = np.array(new["p_weight"], dtype=float)
-                inside = [np.ones((len(one), len(points))) for one in x]
-                for one, flags in zip(x, inside, strict=True):
-                    for j in range(spec["k"]):
-                        flags *= one[:, j][:, None] <= points[:, j][None, :]
-                above += (inside[0] * weight) @ inside[1].T
-        if row is not None:
-            total += _pair_total(spec, row, above)
+                weight = get("p_weight")
+                _count_above(above, pair[1][2][:, 1:], pair[2][2][:, 1:], get("p_x").reshape(len(weight), spec["k"]), weight)
+        if pair is not None:
+            total += _pair_total(spec, *pair, above)
         yield sums_batch({"sum": total[None, :]})
 
     return run

@@ -12,8 +12,9 @@ A strip of a single point is known from its total alone, so points that many uni
 With several covariates the square of a moment, added over points, is a sum over pairs of units of the
 product of their terms times the number of points at or above both. Units are sorted into
 blocks by quantiles of the covariates, and each pair of blocks is a task's row. Blocks of
-points that lie below a pair in some covariate are not sent to it; where one block lies
-wholly below the other, only totals of the first are needed. No point passes the driver, and
+points that lie below a pair in some covariate are not sent to it. What a term adds to a unit's
+multiplier is linear in a few numbers of the draw, so cells are added over pairs of units before
+draws are looked at. No point passes the driver, and
 the number of jobs depends on neither points nor draws.
 """
 
@@ -43,8 +44,9 @@ PRETEST = (
     "statistic DOUBLE, critical_value DOUBLE, p_value DOUBLE, "
     "n_units BIGINT, n_dropped BIGINT, n_cells INT, n_points BIGINT, note STRING"
 )
-# Units in a block, and cells that one row of a task handles.
+# Units in a strip, times this in a block that is paired with others, and cells that are handled at once.
 BLOCK_UNITS = 512
+PAIR_TIMES = 4
 CELLS_AT_ONCE = 64
 
 
@@ -81,9 +83,10 @@ def _running_squares(units: DataFrame, spec: dict, n_units: int) -> np.ndarray:
 
 def _blocked(units: DataFrame, k: int, n_units: int) -> DataFrame:
     """Units with their block: ranges of every covariate, crowded ones split by hash."""
-    if n_units <= BLOCK_UNITS:
+    limit = PAIR_TIMES * BLOCK_UNITS
+    if n_units <= limit:
         return units.withColumn("block", F.lit(0).cast("long"))
-    strips = int(np.ceil((n_units / BLOCK_UNITS) ** (1 / k)))
+    strips = int(np.ceil((n_units / limit) ** (1 / k)))
     names = [f"x{i}" for i in range(1, k + 1)]
     shares = [i / strips for i in range(1, strips)]
     cuts = units.approxQuantile(names, shares, 0.25 / strips) if shares else [[]] * k
@@ -94,12 +97,12 @@ def _blocked(units: DataFrame, k: int, n_units: int) -> DataFrame:
             passed = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda c: c < F.col(name)))  # noqa: B023
             place = place * strips + passed
     placed = units.withColumn("place", place)
-    crowd = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK_UNITS).alias("parts"))
+    crowd = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / limit).alias("parts"))
     split = placed.join(crowd, "place").withColumn("part", F.pmod("hash", F.col("parts")))
     return split.select(*units.columns, (F.col("place") * (1 << 20) + F.col("part")).alias("block"))
 
 
-def _pairs(blocks: DataFrame, k: int, n_cells: int) -> DataFrame:
+def _pairs(blocks: DataFrame, k: int) -> DataFrame:
     """Rows for ``kernels.pair_sums``: units of every pair of blocks, and the points they need."""
     box = [f"{end}{i}" for end in ("low", "high") for i in range(1, k + 1)]
     boxes = materialise(blocks.select("block", *box))
@@ -109,7 +112,6 @@ def _pairs(blocks: DataFrame, k: int, n_cells: int) -> DataFrame:
     reached = F.lit(True)
     for i in range(1, k + 1):
         reached = reached & (F.col(f"high{i}") >= F.col(f"al{i}")) & (F.col(f"high{i}") >= F.col(f"bl{i}"))
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(n_cells - 1, 0)), F.lit(CELLS_AT_ONCE))).alias("chunk")
     fields = ("hash", "cohort", "x", "y")
     sides = {
         side: blocks.select(F.col("block").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in fields]) for side in "ab"
@@ -118,11 +120,10 @@ def _pairs(blocks: DataFrame, k: int, n_cells: int) -> DataFrame:
     unit_rows = pairs.select("a", "b").join(sides["a"], "a").join(sides["b"], "b").withColumn("kind", F.lit(0))
     point_rows = pairs.join(boxes.withColumnRenamed("block", "p"), reached).select("a", "b", "p").join(points, "p")
     rows = unit_rows.unionByName(point_rows.drop("p").withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    rows = rows.select("*", chunks)
     n = boxes.count()
     # A task goes through several pairs, so that the terms' settings are sent to few tasks.
-    parts = min(n * (n + 1) // 2 * -(-n_cells // CELLS_AT_ONCE), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(max(1, parts), "a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "kind")
+    parts = min(n * (n + 1) // 2, 8 * blocks.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, parts), "a", "b").sortWithinPartitions("a", "b", "kind")
 
 
 def _paired_squares(units: DataFrame, spec: dict, n_units: int) -> np.ndarray:
@@ -136,7 +137,7 @@ def _paired_squares(units: DataFrame, spec: dict, n_units: int) -> np.ndarray:
         "block", *[f"_u.{c}" for c in ("hash", "cohort", "weight")], F.flatten("_u.x").alias("x"), F.flatten("_u.y").alias("y"),
         *[f"{end}{i}" for end in ("low", "high") for i in range(1, k + 1)],
     )
-    pairs = _pairs(materialise(blocks), k, len(spec["cells"]))
+    pairs = _pairs(materialise(blocks), k)
     return matrices(added_up(pairs.mapInArrow(kernels.pair_sums(spec), schema=SUMS)))["sum"][0]
 
 

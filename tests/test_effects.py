@@ -361,6 +361,41 @@ def test_pretest_over_many_blocks(spark, monkeypatch):
         assert many["statistic"] == pytest.approx(few["statistic"], rel=1e-9) and many["p_value"] == few["p_value"]
 
 
+def test_pretest_pairs_add_cells_before_draws(spark, monkeypatch):
+    """Blocks of a few units again, in which every cell alone adds to the whole, and no term is made per draw."""
+    pdf, _ = make_panel(spark, n=60, noise=1.0)
+    panel = spark.createDataFrame(pdf)
+    hashes = {r["unit"]: r["h"] for r in panel.select("unit", F.xxhash64("unit", F.lit(1)).alias("h")).distinct().collect()}
+    monkeypatch.setattr(pretrend, "BLOCK_UNITS", 9)
+    monkeypatch.setattr(pretrend, "PAIR_TIMES", 1)
+    monkeypatch.setattr(pretrend, "CELLS_AT_ONCE", 2)
+    monkeypatch.setattr(kernels, "moment_columns", None)  # terms of every unit, cell and draw took too long
+    row = pretest(panel, "y", "unit", "t", "g", ["x1", "x2"], draws=40).first()
+    drawn = brute_draws(pdf, hashes, 40)
+    assert row["statistic"] == pytest.approx(brute_cvm(pdf), rel=1e-8)
+    assert row["critical_value"] == pytest.approx(np.quantile(drawn, 0.95, method="inverted_cdf"), rel=1e-7)
+
+
+def test_pair_terms_are_products_by_matrices():
+    """A pair of blocks, alike or not, adds what products of its terms weighted by the points above add."""
+    rng = np.random.default_rng(5)
+    cells = [{"group": 5, "controls": [0, 7], "time": 2 + i, "base": 1 + i, "gamma": np.array([-0.2, 0.1, 0.3]), "n1": 5.0, "w0": 3.0,
+              "inverse": np.eye(3), "odds_x": np.array([3.0, 0.2, 0.1])} for i in range(3)]
+    spec = {"k": 2, "months": 6, "draws": 7, "chunk": 2, "cells": cells, "drawn": rng.normal(size=(7, 3, 5))}
+    blocks = [(rng.integers(1, 1 << 60, n), rng.choice([0, 5, 7, 9], n), np.column_stack([np.ones(n), rng.integers(0, 4, (n, 2))]), rng.normal(size=(n, 6))) for n in (11, 8)]
+    points, weight = rng.integers(0, 4, (30, 2)).astype(float), rng.integers(0, 2, 30).astype(float)
+    for a, b in ((0, 0), (0, 1)):
+        one, two = blocks[a], blocks[b]
+        above = np.zeros((len(one[0]), len(two[0])))
+        kernels._count_above(above, one[2][:, 1:], two[2][:, 1:], points, weight)
+        flags = [(points[None] >= x[2][:, None, 1:]).all(axis=2) for x in (one, two)]
+        assert (above == (flags[0] * weight) @ flags[1].T).all()
+        want = sum((terms * (above[np.ix_(rows, others)] @ more)).sum(axis=0) for (rows, terms), (others, more) in zip(
+            kernels.moment_columns(spec, 0, 3, *one), kernels.moment_columns(spec, 0, 3, *two), strict=True))
+        found = kernels._pair_total(spec, a == b, one, two, above)
+        assert found == pytest.approx(want if a == b else 2 * want, rel=1e-9)
+
+
 def test_pretest_counts_dropped_units(spark):
     pdf, _ = make_panel(spark, n=90, noise=1.0)
     pdf = pdf[~((pdf["unit"] < 7) & (pdf["t"] == 3))]
